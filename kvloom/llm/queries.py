@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, secrets, sharding
+from . import bpe, lang_id, media, mixing, secrets, sharding, toxicity
 from .common import read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents."""
+    docs = read(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.fit(docs))
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of documents, and the text decoded from them, as digests."""
+    return bpe.encode_digests(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents to weights 5, 2, 1 takes of each."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -30,7 +47,10 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op6_bpe_codec": op6_bpe_codec,
     "op7_source_mix": op7_source_mix,
     "op9_media_columns": op9_media_columns,
     "op10_balanced_shards": op10_balanced_shards,
