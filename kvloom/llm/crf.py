@@ -112,10 +112,10 @@ class Field:
         each = [hashed(self.features(w), self.dims) for w in words]
         return np.array([i for f in each for i in f], np.int64), np.concatenate([[0], np.cumsum([len(f) for f in each], dtype=np.int64)])
 
-    def fit(self, texts: list[str], gold: Callable[[int, str], int], epochs: int = 4, batch_docs: int = 64, rate: float = 0.3, l2: float = 1e-6, seed: int = 7) -> "Field":
+    def fit(self, texts: list[str], gold: Callable[[int, str], int], epochs: int = 4, batch_docs: int = 64, rate: float = 0.2, l2: float = 1e-6, seed: int = 7) -> "Field":
         """Adagrad on the chains' conditional likelihood. gold(document, word) -> label's number."""
         random, k = np.random.default_rng(seed), len(self.labels)
-        sums, move_sums, start_sums = (np.full(x.shape, 1e-3) for x in (self.weights, self.moves, self.starts))
+        sums, move_sums, start_sums = (np.full(x.shape, 1e-10) for x in (self.weights, self.moves, self.starts))
         for _ in range(epochs):
             for part in np.array_split(random.permutation(len(texts)), max(1, len(texts) // batch_docs)):
                 words = Words()

@@ -4,8 +4,8 @@ Documents carry labels, words do not. In the training sample a word of a toxic
 document is labelled toxic if it is found in toxic documents and next to never in
 others; the field learns those labelled tokens by the word, its affixes and
 n-grams, so that it also tags inflected forms that it has not seen. A document's
-score is a logistic function of its largest marginal and of the sum of its
-marginals, fitted on the same sample.
+score is a logistic function of its largest marginal, the sum of its marginals
+and its number of words, fitted on the same sample.
 
 The sample holds at most PER_LABEL documents of each label, none of them held
 out. Every document is scored whole.
@@ -57,13 +57,13 @@ class Model:
 
 
 def summaries(own: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
-    """(1, logit of the largest marginal, log of the sum of marginals that matter) of each document."""
+    """(1, logit of the largest marginal, log of the sum of marginals that matter, log of the number of words) of each document."""
     top = np.full(n, 1e-6)
     toxic = p[:, 1] if p.size else np.zeros(0)
     np.maximum.at(top, own, toxic)
     top = np.minimum(top, 1 - 1e-6)
     total = np.bincount(own, np.where(toxic > 0.1, toxic, 0), n)
-    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total)], axis=1)
+    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total), np.log1p(np.bincount(own, minlength=n))], axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
@@ -79,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     # Toxic documents, and as many others: the words of the rest would only repeat "not toxic".
     toxic = [s for s in sample if s[1]]
     rest = [s for s in sample if not s[1]][: 2 * len(toxic)]
-    field.fit([t for t, _ in toxic + rest], lambda d, w: int(d < len(toxic) and w in words), epochs=3)
+    field.fit([t for t, _ in toxic + rest], lambda d, w: int(d < len(toxic) and w in words), epochs=4)
     tagger = crf.Tagger(field)
     x, y = [], np.array([y for _, y in sample], float)
     for at in range(0, len(sample), 500):
