@@ -55,6 +55,15 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id) == 0
 
 
+#: A table of keys is broadcast only if it is counted to have at most so many rows.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df for the smaller side of a join: broadcast if its rows are few by count, else joined by shuffling."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,7 +79,7 @@ def map_columns(df: DataFrame, keep: list[str], use: list[str], start: Callable[
     for each field, in order. Batches are cut to SLICE rows, so that few texts
     are Python objects at one time.
     """
-    kinds = [getattr(pa, _ARROW[k])() for k in fields.values()]
+    kinds = [pa.list_(pa.int64()) if k == "array<long>" else getattr(pa, _ARROW[k])() for k in fields.values()]
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +89,7 @@ def map_columns(df: DataFrame, keep: list[str], use: list[str], start: Callable[
                 b = whole.slice(at, SLICE)
                 made = make(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in use])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(v, k) for v, k in zip(made, kinds)], names=[*keep, *fields]
+                    [b.column(b.schema.get_field_index(c)) for c in keep] + [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(made, kinds)], names=[*keep, *fields]
                 )
 
     return df.select(*dict.fromkeys([*keep, *use])).mapInArrow(run, schema)

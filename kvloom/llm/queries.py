@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, lang_id, media, mixing, secrets, sharding, toxicity
+from . import bpe, lang_id, media, mixing, ngram_join, secrets, sharding, toxicity
 from .common import read
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles are 80 % alike."""
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text of documents."""
     docs = read(spark, sf_dir, "documents")
@@ -47,6 +52,7 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op5_language_id": op5_language_id,
