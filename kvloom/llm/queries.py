@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, lang_id, media, mixing, ngram_join, secrets, sharding, toxicity
+from . import bpe, embed_dedup, lang_id, media, mixing, ngram_join, secrets, sharding, toxicity
 from .common import read
 
 
@@ -24,6 +24,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.98 or more, and their components."""
+    return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text of documents."""
     docs = read(spark, sf_dir, "documents")
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_source_mix": op7_source_mix,
