@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embed_dedup, lang_id, media, mixing, ngram_join, secrets, sharding, toxicity
+from . import bpe, embed_dedup, lang_id, media, mixing, ngram_join, secrets, sharding, suffix_dedup, toxicity
 from .common import read
 
 
@@ -45,6 +45,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the bytes of 50-byte strings that a smaller id has."""
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a grey image, read back and hashed."""
     return media.media_features(media.text_media(read(spark, sf_dir, "documents")))
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_source_mix": op7_source_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_balanced_shards": op10_balanced_shards,
 }
