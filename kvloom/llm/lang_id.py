@@ -94,7 +94,7 @@ def predict(docs: DataFrame, field: crf.Field | None) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, field: crf.Field | None, least_score: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, field: crf.Field | None, least_score: float = 0.3) -> DataFrame:
     """The rows of docs whose text has a language: a letter, and one language with at least least_score of the words."""
 
     def start():
