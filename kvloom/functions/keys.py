@@ -86,3 +86,51 @@ def snapshot_prefix(key: Column) -> Column:
     other = F.regexp_instr(key, F.lit(r"[./|]"))
     at = F.when(colon > 0, colon).otherwise(other)
     return F.when(at > 1, F.substr(key, F.lit(1), at)).otherwise(F.lit("(keys without a separator)"))
+
+
+_UNITS = {"": 1, "k": 1_000, "m": 1_000_000, "g": 1_000_000_000, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30}
+
+
+def parse_size(text: Column) -> Column:
+    """'10k' is 10,000 and '10kb' 10,240; null for what is no size."""
+    low = F.lower(F.trim(text))
+    unit = F.regexp_extract(low, r"^[0-9]+([kmg]?b?)$", 1)
+    scale = F.create_map(*[F.lit(x) for p in (_UNITS | {"b": 1}).items() for x in p])[unit]
+    return F.when(F.regexp_like(low, F.lit(r"^[0-9]{1,12}([kmg]?b?)$")), F.regexp_extract(low, r"^([0-9]+)", 1).cast("long") * scale)
+
+
+def human_size(n: Column) -> Column:
+    """Bytes with a binary unit and one decimal."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
+        out = F.when(n >= 1 << power, F.format_string(f"%.1f {unit}", n / F.lit(float(1 << power)))).otherwise(out)
+    return out
+
+
+def duration(seconds: Column) -> Column:
+    """1h2m3s; leading zero units are left out."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
+    return F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), F.when(seconds >= 60, F.concat(m.cast("string"), F.lit("m"))).otherwise(""), s.cast("string"), F.lit("s"))
+
+
+def significant_digits(text: Column) -> Column:
+    """Digits of a decimal number without leading and trailing zeros (0 has one)."""
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1), r"\.", "")
+    return F.greatest(F.length(F.regexp_replace(F.regexp_replace(mantissa, "^0+", ""), "0+$", "")), F.lit(1))
+
+
+def encoding_of(text: Column) -> Column:
+    """hex, base64 or text. Base64 only if it decodes to mostly letters, digits and spaces."""
+    is_hex = F.regexp_like(text, F.lit("^([0-9a-fA-F]{2}){4,}$"))
+    shape = F.regexp_like(text, F.lit(r"^(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
+    inner = F.decode(F.when(shape & (F.length(text) % 4 == 0), F.unbase64(text)), "ISO-8859-1")
+    plain = F.length(F.regexp_replace(inner, "[^A-Za-z0-9 ]", "")) >= 0.7 * F.length(inner)
+    return F.when(is_hex, "hex").when(F.coalesce(plain, F.lit(False)), "base64").otherwise("text")
+
+
+def key_positions(args: Column, first: Column, last: Column, step: Column) -> Column:
+    """Arguments at first, first + step, ... last (negative: from the end). Arguments count from 1 after the command's name."""
+    n = F.size(args) - 1
+    end = F.when(last < 0, n + last + 1).otherwise(F.least(last, n))
+    places = F.when((first > 0) & (end >= first), F.sequence(first, end, step)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.element_at(args, i + 1))

@@ -70,3 +70,38 @@ def near_names(names: DataFrame, most: int = 3000) -> DataFrame:
         .where(F.levenshtein("a.name", "b.name", 1) == 1)
         .select(F.col("a.name").alias("name"), F.col("b.name").alias("near"))
     )
+
+
+def fold_busy_levels(patterns_: DataFrame, separator: str = ":", many: int = 50, share: float = 0.8, small: int = 2, cut=None) -> DataFrame:
+    """patterns(pattern, keys) -> the same after folding: where a prefix has more than ``many`` children and ``share`` of them are small (``small`` keys at most) and no class, these become <*>.
+
+    Levels are folded from the deepest up, one aggregation and one join each.
+    cut: a function that materializes a level on a cluster.
+    """
+    rows = patterns_.select(F.split("pattern", _quoted(separator)).alias("path"), "keys")
+    deepest = rows.agg(F.max(F.size("path"))).first()[0] or 0
+    for depth in range(deepest, 0, -1):
+        child = F.element_at("path", depth)
+        here = rows.where(F.size("path") >= depth).withColumn("parent", F.slice("path", 1, depth - 1)).withColumn("child", child)
+        kids = here.groupBy("parent", "child").agg(F.sum("keys").alias("n"))
+        is_small = (F.col("n") <= small) & ~F.contains("child", F.lit("<"))
+        busy = kids.groupBy("parent").agg(F.count("*").alias("kids"), F.count_if(is_small).alias("few")).where((F.col("kids") > many) & (F.col("few") >= share * F.col("kids"))).select("parent")
+        folded = kids.where(is_small).join(busy, "parent").select("parent", "child", F.lit(True).alias("fold"))
+        new = F.when(F.col("fold"), F.concat(F.col("parent"), F.array(F.lit("<*>")), F.slice("path", depth + 1, 1000))).otherwise(F.col("path"))
+        here = here.join(folded, ["parent", "child"], "left").select(new.alias("path"), "keys")
+        rows = here.union(rows.where(F.size("path") < depth)).groupBy("path").agg(F.sum("keys").alias("keys"))
+        rows = cut(rows) if cut else rows
+    return rows.select(F.array_join("path", separator).alias("pattern"), "keys")
+
+
+def top_patterns(patterns_: DataFrame, n: int = 50) -> DataFrame:
+    """The n most common patterns, and one row (more) for the rest."""
+    ranked = patterns_.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("keys"), "pattern")))
+    name = F.when(F.col("rank") <= n, F.col("pattern")).otherwise("(more)")
+    return ranked.groupBy(name.alias("pattern")).agg(F.sum("keys").cast("long").alias("keys"), F.count("*").alias("patterns"))
+
+
+def browse(keys: DataFrame, prefix: str = "", within: str = "", by: str = "key", offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of the keys with a prefix and a substring."""
+    rows = keys.where(F.startswith("key", F.lit(prefix)) & F.contains("key", F.lit(within)))
+    return rows.orderBy(by, "key_idx").offset(offset).limit(limit)

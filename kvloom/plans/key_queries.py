@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys as K
 from ..operators import graph, keyspace, placement, slots
+from ..session import cut
 from . import views
 from .views import EDGES, KEYS, SLOTS
 
@@ -123,7 +124,7 @@ def joi_17_k_hop(spark, d):
     start = spark.createDataFrame([("order:7",), ("order:11",)], "node string")
     both = views.edges(spark, d)
     both = both.select("src", "dst").union(both.where("type <> 'placed_by'").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.k_hop(both, start, 4)
+    return graph.k_hop(both, start, 4, cut)
 
 
 def fn_04_murmur3(spark, d):

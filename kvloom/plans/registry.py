@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import key_queries, store_queries, traffic_queries
+from . import key_queries, more_queries, store_queries, traffic_queries
 
-QUERIES: dict = {**key_queries.QUERIES, **traffic_queries.QUERIES, **store_queries.QUERIES}
-ORACLES: dict[str, str] = {**key_queries.ORACLES, **traffic_queries.ORACLES, **store_queries.ORACLES}
+QUERIES: dict = {**key_queries.QUERIES, **traffic_queries.QUERIES, **store_queries.QUERIES, **more_queries.QUERIES}
+ORACLES: dict[str, str] = {**key_queries.ORACLES, **traffic_queries.ORACLES, **store_queries.ORACLES, **more_queries.ORACLES}

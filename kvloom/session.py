@@ -23,3 +23,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, name: str
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df):
+    """Cut a loop's lineage: checkpoint() into the folder of spark.checkpoint.dir, or the cache where no folder is set (local runs)."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
