@@ -100,10 +100,10 @@ def parse_size(text: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a binary unit and one decimal."""
+    """Bytes with a binary unit and one decimal, rounded down."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
-        out = F.when(n >= 1 << power, F.format_string(f"%.1f {unit}", n / F.lit(float(1 << power)))).otherwise(out)
+        out = F.when(n >= 1 << power, F.format_string(f"%d.%d {unit}", F.shiftright(n, power), F.shiftright((n % (1 << power)) * 10, power))).otherwise(out)
     return out
 
 

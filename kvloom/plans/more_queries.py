@@ -225,7 +225,7 @@ SELECT 'many' AS finding, 'warn' AS severity FROM t WHERE n > 1000 UNION ALL SEL
     "fn_12_key_positions": """WITH a AS (SELECT DISTINCT l_orderkey, 'k' || CAST(l_partkey AS VARCHAR) AS k FROM lineitem WHERE l_orderkey < 2000), r AS (SELECT l_orderkey, k, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS n FROM a)
 SELECT l_orderkey, string_agg(k, ' ' ORDER BY n) AS keys FROM r WHERE n % 2 = 1 GROUP BY l_orderkey""",
     "fn_22_sizes": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1024 WHEN 3 THEN p_size * 1048576 END::BIGINT AS bytes,
-  CASE WHEN p_partkey * 1537 >= 1048576 THEN printf('%.1f MB', p_partkey * 1537 / 1048576.0::DOUBLE) WHEN p_partkey * 1537 >= 1024 THEN printf('%.1f KB', p_partkey * 1537 / 1024.0::DOUBLE) ELSE CAST(p_partkey * 1537 AS VARCHAR) || ' B' END AS shown FROM part""",
+  CASE WHEN p_partkey * 1537 >= 1048576 THEN printf('%d.%d MB', p_partkey * 1537 // 1048576, p_partkey * 1537 % 1048576 * 10 // 1048576) WHEN p_partkey * 1537 >= 1024 THEN printf('%d.%d KB', p_partkey * 1537 // 1024, p_partkey * 1537 % 1024 * 10 // 1024) ELSE CAST(p_partkey * 1537 AS VARCHAR) || ' B' END AS shown FROM part""",
     "fn_23_durations": """SELECT p_partkey, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN s >= 60 THEN CAST(s % 3600 // 60 AS VARCHAR) || 'm' ELSE '' END || CAST(s % 60 AS VARCHAR) || 's' AS shown FROM (SELECT p_partkey, p_partkey * 17 AS s FROM part)""",
     "fn_19_digits": "SELECT c_custkey, CAST(greatest(length(rtrim(ltrim(replace(replace(CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR), '-', ''), '.', ''), '0'), '0')), 1) AS INTEGER) AS digits FROM customer",
     "fn_24_encodings": "SELECT CASE p_partkey % 3 WHEN 0 THEN 'hex' WHEN 1 THEN 'base64' ELSE 'text' END AS encoding, count(*) AS n FROM part GROUP BY 1",
