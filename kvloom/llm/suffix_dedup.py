@@ -161,24 +161,30 @@ def _covered(length: int):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                each = [fingerprints(s, length) for s in batch.column(3).to_pylist()]
-                sizes = np.array([e.size for e in each])
+                texts = batch.column(3).to_pylist()
+                lengths = np.array([len(s) for s in texts], np.int64)
+                sizes = lengths - length + 1
                 row = np.repeat(np.arange(sizes.size), sizes)
-                prints, docs = np.concatenate(each), batch.column(2).to_numpy(zero_copy_only=False)[row]
+                offset = np.arange(row.size) - (np.cumsum(sizes) - sizes)[row]
+                # All stretches at once; strings that run over a stretch's end are not looked at.
+                prints = fingerprints(b"".join(texts), length)[(np.cumsum(lengths) - lengths)[row] + offset]
+                docs = batch.column(2).to_numpy(zero_copy_only=False)[row]
                 order = np.lexsort((docs, prints))
                 p, d = prints[order], docs[order]
-                first = np.concatenate([[True], p[1:] != p[:-1]]) if p.size else np.zeros(0, bool)
+                first = np.concatenate([[True], p[1:] != p[:-1]])
                 hit = family.scan(p, d) | (d > d[first][np.cumsum(first) - 1])
                 family.add(p[first], d[first])
                 covered = np.zeros(p.size, bool)
                 covered[order] = hit
-                begin = np.cumsum(sizes) - sizes
-                spans = []
-                for i in range(sizes.size):
-                    o = np.flatnonzero(covered[begin[i] : begin[i] + sizes[i]])
-                    a, b = merged(o, o + length)
-                    spans.append(np.stack([a, b], axis=1).ravel().astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], _lists(spans)], names=["anchor", "content", "first_doc", "spans"])
+                at_row, at_offset = row[covered], offset[covered]
+                new = np.ones(at_row.size, bool)
+                new[1:] = (at_row[1:] != at_row[:-1]) | (at_offset[1:] > at_offset[:-1] + length)
+                last = np.roll(new, -1)
+                last[-1:] = True
+                flat = np.stack([at_offset[new], at_offset[last] + length], axis=1).ravel()
+                ends = 2 * np.cumsum(np.bincount(at_row[new], minlength=sizes.size))
+                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], spans], names=["anchor", "content", "first_doc", "spans"])
 
     return run
 
