@@ -37,7 +37,7 @@ def fn_02_hash_tags(spark, d):
 
 
 def fn_03_key_slots(spark, d):
-    return slots.with_slots(views.keys(spark, d).where("key_idx < 1000000000"))
+    return slots.with_slots(views.keys(spark, d))
 
 
 def joi_01_unowned(spark, d):
@@ -48,7 +48,8 @@ def joi_01_unowned(spark, d):
 
 
 def win_08_slot_ranges(spark, d):
-    return slots.slot_ranges(slots.with_slots(views.keys(spark, d).where("key like 'cart%'")))
+    """Runs of slots that hold keys with a hash tag."""
+    return slots.slot_ranges(slots.with_slots(views.keys(spark, d).where(K.is_tagged(F.col("key")))))
 
 
 def fn_14_crossslot(spark, d):
@@ -117,7 +118,12 @@ def joi_20_prefix_scan(spark, d):
 
 
 def srt_02_key_order(spark, d):
-    return graph.graph_keys(views.edges(spark, d)).orderBy("key").limit(100).select(F.decode("key", "UTF-8").alias("key"))
+    """Place of each key in byte order among the keys of its node."""
+    from pyspark.sql import Window
+
+    text = F.decode("key", "UTF-8")
+    keys = graph.graph_keys(views.edges(spark, d)).withColumn("node", F.substring_index(text, "/", 2))
+    return keys.select(text.alias("key"), F.row_number().over(Window.partitionBy("node").orderBy("key")).alias("place"))
 
 
 def joi_17_k_hop(spark, d):
@@ -196,10 +202,10 @@ FROM per JOIN nodes ON slot BETWEEN lo AND hi GROUP BY node""",
     "agg_01_top_slots": f"WITH {SLOTS} SELECT slot, count(*) AS keys FROM slots GROUP BY slot ORDER BY keys DESC, slot LIMIT 10",
     "agg_01_top_tags": f"WITH {SLOTS} SELECT hk AS tag, count(*) AS keys FROM slots WHERE is_tagged GROUP BY hk ORDER BY keys DESC, tag LIMIT 10",
     "fn_02_hash_tags": f"WITH {SLOTS} SELECT is_tagged AS tagged, count(*) AS keys, count(DISTINCT hk) AS tags FROM tagged GROUP BY is_tagged",
-    "fn_03_key_slots": f"WITH {SLOTS} SELECT key_idx, key, slot FROM slots WHERE key_idx < 1000000000",
+    "fn_03_key_slots": f"WITH {SLOTS} SELECT key_idx, key, slot FROM slots",
     "joi_01_unowned": f"""WITH {SLOTS}, nodes(node, lo, hi) AS (VALUES (1, 0, 5000), (2, 6000, 16383))
 SELECT CAST(node AS INTEGER) AS node, count(*) AS keys FROM slots LEFT JOIN nodes ON slot BETWEEN lo AND hi GROUP BY node""",
-    "win_08_slot_ranges": f"""WITH {SLOTS}, used AS (SELECT DISTINCT slot FROM slots WHERE key LIKE 'cart%'),
+    "win_08_slot_ranges": f"""WITH {SLOTS}, used AS (SELECT DISTINCT slot FROM slots WHERE is_tagged),
 isl AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS g FROM used) SELECT min(slot) AS lo, max(slot) AS hi FROM isl GROUP BY g""",
     "fn_14_crossslot": f"""WITH {SLOTS.replace(KEYS, "keys AS (SELECT DISTINCT l_orderkey AS key_idx, 'part:' || CAST(l_partkey AS VARCHAR) AS key FROM lineitem)")},
 per AS (SELECT key_idx, count(*) AS k, count(DISTINCT slot) AS s FROM slots GROUP BY key_idx)
@@ -231,7 +237,7 @@ UNION ALL SELECT 'case_collision', count(*) FROM (SELECT lower(x) FROM p GROUP B
 SELECT x.name AS name, y.name AS near FROM a x JOIN a y ON x.name < y.name WHERE levenshtein(x.name, y.name) = 1""",
     "fn_17_graph_keys": f"WITH {GRAPH_KEYS} SELECT key FROM gk",
     "joi_20_prefix_scan": f"WITH {GRAPH_KEYS} SELECT key FROM gk WHERE starts_with(key, 'i/customer:1')",
-    "srt_02_key_order": f"WITH {GRAPH_KEYS} SELECT key FROM gk ORDER BY key LIMIT 100",
+    "srt_02_key_order": f"WITH {GRAPH_KEYS} SELECT key, row_number() OVER (PARTITION BY split_part(key, '/', 1), split_part(key, '/', 2) ORDER BY key) AS place FROM gk",
     "joi_17_k_hop": f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE type <> 'placed_by'),
 w(node, hop) AS (SELECT 'order:7', 0 UNION SELECT 'order:11', 0 UNION SELECT dst, hop + 1 FROM w JOIN e ON node = src WHERE hop < 4)
 SELECT node, min(hop) AS hop FROM w GROUP BY node""",

@@ -127,7 +127,7 @@ def set_05_unknown_names(spark, d):
 
 
 def fn_12_key_positions(spark, d):
-    li = views.table(spark, d, "lineitem").where("l_orderkey < 2000")
+    li = views.table(spark, d, "lineitem")
     args = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.concat(F.lit("k"), F.col("l_partkey").cast("string")))).alias("a"))
     args = args.select("l_orderkey", F.concat(F.array(F.lit("MSET")), "a").alias("a"))
     return args.select("l_orderkey", F.array_join(K.key_positions(F.col("a"), F.lit(1), F.lit(-1), F.lit(2)), " ").alias("keys"))
@@ -222,7 +222,7 @@ SELECT category, count(*) AS commands, CAST(coalesce(sum(uses), 0) AS BIGINT) AS
 SELECT 'many' AS finding, 'warn' AS severity FROM t WHERE n > 1000 UNION ALL SELECT 'value', 'info' FROM t WHERE v > 1e6 UNION ALL SELECT 'pending', 'bad' FROM t WHERE p * 2 > n UNION ALL SELECT 'any', 'ok' FROM t WHERE n > 0""",
     "set_04_node_sets": "SELECT c_nationkey AS node FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "set_05_unknown_names": f"WITH {GOT}, {VERSIONS} SELECT name FROM got WHERE name NOT IN (SELECT name FROM defs WHERE version = 'a1')",
-    "fn_12_key_positions": """WITH a AS (SELECT DISTINCT l_orderkey, 'k' || CAST(l_partkey AS VARCHAR) AS k FROM lineitem WHERE l_orderkey < 2000), r AS (SELECT l_orderkey, k, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS n FROM a)
+    "fn_12_key_positions": """WITH a AS (SELECT DISTINCT l_orderkey, 'k' || CAST(l_partkey AS VARCHAR) AS k FROM lineitem), r AS (SELECT l_orderkey, k, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS n FROM a)
 SELECT l_orderkey, string_agg(k, ' ' ORDER BY n) AS keys FROM r WHERE n % 2 = 1 GROUP BY l_orderkey""",
     "fn_22_sizes": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1024 WHEN 3 THEN p_size * 1048576 END::BIGINT AS bytes,
   CASE WHEN p_partkey * 1537 >= 1048576 THEN printf('%d.%d MB', p_partkey * 1537 // 1048576, p_partkey * 1537 % 1048576 * 10 // 1048576) WHEN p_partkey * 1537 >= 1024 THEN printf('%d.%d KB', p_partkey * 1537 // 1024, p_partkey * 1537 % 1024 * 10 // 1024) ELSE CAST(p_partkey * 1537 AS VARCHAR) || ' B' END AS shown FROM part""",

@@ -197,8 +197,12 @@ def set_01_number_sets(spark, d):
 
 
 def fn_18_number_order(spark, d):
-    c = views.table(spark, d, "customer").select("c_custkey", F.concat((F.col("c_acctbal") * 100).cast("long").cast("string"), F.lit("e-2")).alias("n"))
-    return c.orderBy(number_key(F.col("n")), "c_custkey").limit(50)
+    """Place of each number within its nation, by value: '12345e-2' is 123.45."""
+    from pyspark.sql import Window
+
+    c = views.table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat((F.col("c_acctbal") * 100).cast("long").cast("string"), F.lit("e-2")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(number_key(F.col("n")), "c_custkey"))
+    return c.select("c_custkey", "n", place.alias("place"))
 
 
 def _got(spark):
@@ -218,8 +222,8 @@ def joi_04_version_scores(spark, d):
 
 
 def win_05_last_setting(spark, d):
-    e = views.table(spark, d, "events").where("event_id < 500")
-    return S.last_settings(e.select(F.col("event_id").alias("line"), F.concat(F.lit("user-"), (F.col("user_id") % 20).cast("string")).alias("name"), F.col("event_type").alias("value")))
+    e = views.table(spark, d, "events")
+    return S.last_settings(e.select(F.col("event_id").alias("line"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("value")))
 
 
 def joi_06_glob_permissions(spark, d):
@@ -283,12 +287,12 @@ UNION ALL SELECT 0, idx, 'DEL', k FROM f UNION ALL SELECT 2, idx, 'EXPIRE', k ||
     "srt_01_sorted_query": f"WITH {ITEMS} SELECT c_custkey, CAST(balance AS VARCHAR) AS balance FROM items WHERE segment = 'BUILDING' AND balance IS NOT NULL ORDER BY items.balance, c_custkey LIMIT 20",
     "prj_05_update": """SELECT c_custkey, CASE WHEN c_nationkey > 9 THEN 'flag,' ELSE '' END || 'odd' || CASE WHEN c_mktsegment <> 'BUILDING' THEN ',segment' ELSE '' END AS changed FROM customer""",
     "set_01_number_sets": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) || ' ' || CAST(c_nationkey + 100000 AS VARCHAR) || CASE WHEN c_custkey = c_nationkey + 100000 THEN '' ELSE '' END || ' 1e9' AS both, CAST(c_nationkey + 100000 AS VARCHAR) AS rest FROM customer",
-    "fn_18_number_order": "SELECT c_custkey, CAST(CAST(trunc(c_acctbal * 100) AS BIGINT) AS VARCHAR) || 'e-2' AS n FROM customer ORDER BY trunc(c_acctbal * 100), c_custkey LIMIT 50",
+    "fn_18_number_order": "SELECT c_custkey, CAST(CAST(trunc(c_acctbal * 100) AS BIGINT) AS VARCHAR) || 'e-2' AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY trunc(c_acctbal * 100), c_custkey) AS place FROM customer",
     "joi_03_setting_differences": f"""WITH {GOT}, {VERSIONS}, d AS (SELECT * FROM defs WHERE version = 'b1') SELECT coalesce(g.name, d.name) AS name,
   CASE WHEN d.name IS NULL THEN 'unknown' WHEN g.name IS NULL THEN 'hidden' WHEN g.value = d.value THEN 'same' ELSE 'changed' END AS status FROM got g FULL JOIN d ON g.name = d.name""",
     "joi_04_version_scores": f"""WITH {GOT}, {VERSIONS}, p AS (SELECT version, count(g.name) AS hits, count(*) - count(g.name) AS extras FROM defs LEFT JOIN got g USING (name) GROUP BY version)
 SELECT version, hits - ((SELECT count(*) FROM got) - hits) - extras AS score FROM p""",
-    "win_05_last_setting": "SELECT 'user-' || CAST(user_id % 20 AS VARCHAR) AS name, arg_max(event_type, event_id) AS value, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS set_by FROM events WHERE event_id < 500 GROUP BY 1",
+    "win_05_last_setting": "SELECT 'user-' || CAST(user_id AS VARCHAR) AS name, arg_max(event_type, event_id) AS value, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS set_by FROM events GROUP BY 1",
     "joi_06_glob_permissions": f"""WITH {KEYS}, n AS (SELECT key, CASE WHEN key_idx % 2 = 0 THEN 'R' ELSE 'RW' END AS needs FROM keys)
 SELECT key LIKE 'cart:{{1%}}:items' OR (needs = 'R' AND regexp_full_match(key, 'user:[2-4].:.*')) OR key = 'order:7:20' OR (needs = 'R' AND regexp_full_match(key, 'order:1.[^5]:.*')) AS allowed, needs, count(*) AS keys FROM n GROUP BY 1, 2""",
     "set_06_last_rule": """SELECT 'cmd' || CAST(user_id % 50 AS VARCHAR) AS command, arg_max(event_type IN ('view', 'click'), event_id) AS "on" FROM events GROUP BY 1""",
