@@ -237,7 +237,7 @@ UNION ALL SELECT 'case_collision', count(*) FROM (SELECT lower(x) FROM p GROUP B
 SELECT x.name AS name, y.name AS near FROM a x JOIN a y ON x.name < y.name WHERE levenshtein(x.name, y.name) = 1""",
     "fn_17_graph_keys": f"WITH {GRAPH_KEYS} SELECT key FROM gk",
     "joi_20_prefix_scan": f"WITH {GRAPH_KEYS} SELECT key FROM gk WHERE starts_with(key, 'i/customer:1')",
-    "srt_02_key_order": f"WITH {GRAPH_KEYS} SELECT key, row_number() OVER (PARTITION BY split_part(key, '/', 1), split_part(key, '/', 2) ORDER BY key) AS place FROM gk",
+    "srt_02_key_order": f"WITH {GRAPH_KEYS} SELECT key, CAST(row_number() OVER (PARTITION BY split_part(key, '/', 1), split_part(key, '/', 2) ORDER BY key) AS INTEGER) AS place FROM gk",
     "joi_17_k_hop": f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE type <> 'placed_by'),
 w(node, hop) AS (SELECT 'order:7', 0 UNION SELECT 'order:11', 0 UNION SELECT dst, hop + 1 FROM w JOIN e ON node = src WHERE hop < 4)
 SELECT node, min(hop) AS hop FROM w GROUP BY node""",

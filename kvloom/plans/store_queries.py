@@ -287,7 +287,7 @@ UNION ALL SELECT 0, idx, 'DEL', k FROM f UNION ALL SELECT 2, idx, 'EXPIRE', k ||
     "srt_01_sorted_query": f"WITH {ITEMS} SELECT c_custkey, CAST(balance AS VARCHAR) AS balance FROM items WHERE segment = 'BUILDING' AND balance IS NOT NULL ORDER BY items.balance, c_custkey LIMIT 20",
     "prj_05_update": """SELECT c_custkey, CASE WHEN c_nationkey > 9 THEN 'flag,' ELSE '' END || 'odd' || CASE WHEN c_mktsegment <> 'BUILDING' THEN ',segment' ELSE '' END AS changed FROM customer""",
     "set_01_number_sets": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) || ' ' || CAST(c_nationkey + 100000 AS VARCHAR) || CASE WHEN c_custkey = c_nationkey + 100000 THEN '' ELSE '' END || ' 1e9' AS both, CAST(c_nationkey + 100000 AS VARCHAR) AS rest FROM customer",
-    "fn_18_number_order": "SELECT c_custkey, CAST(CAST(trunc(c_acctbal * 100) AS BIGINT) AS VARCHAR) || 'e-2' AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY trunc(c_acctbal * 100), c_custkey) AS place FROM customer",
+    "fn_18_number_order": "SELECT c_custkey, CAST(CAST(trunc(c_acctbal * 100) AS BIGINT) AS VARCHAR) || 'e-2' AS n, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY trunc(c_acctbal * 100), c_custkey) AS INTEGER) AS place FROM customer",
     "joi_03_setting_differences": f"""WITH {GOT}, {VERSIONS}, d AS (SELECT * FROM defs WHERE version = 'b1') SELECT coalesce(g.name, d.name) AS name,
   CASE WHEN d.name IS NULL THEN 'unknown' WHEN g.name IS NULL THEN 'hidden' WHEN g.value = d.value THEN 'same' ELSE 'changed' END AS status FROM got g FULL JOIN d ON g.name = d.name""",
     "joi_04_version_scores": f"""WITH {GOT}, {VERSIONS}, p AS (SELECT version, count(g.name) AS hits, count(*) - count(g.name) AS extras FROM defs LEFT JOIN got g USING (name) GROUP BY version)
