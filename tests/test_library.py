@@ -125,3 +125,20 @@ def test_connection_state(spark, tmp_path):
     source = spark.readStream.schema("client string, line_no long, command string").parquet(str(tmp_path / "in"))
     got = {r.client: (r.commands, r.transactions, r.in_multi) for r in stream.drained(stream.connection_state(source), "update").collect()}
     assert got == {"a": (3, 1, False), "b": (3, 1, True)}
+
+
+def test_records(spark, tmp_path):
+    from kvloom.sources import records
+
+    (tmp_path / "a.csv").write_text('﻿id;"na;me"\n1;"x ""y"";\nz"\n2\n', encoding="utf-8")
+    got = records.csv_records(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["id", "na;me"] and [tuple(r) for r in got.collect()] == [("1", 'x "y";\nz'), ("2", "")]
+    assert records.guess_delimiter("a|b|c,d") == "|" and records.guess_delimiter("a") == ","
+    lines_ = lines(spark, ['{"Items":[{"a":{"N":"1.50"}},{"a":{"N":"2"}}]}', '{"Item":{"a":{"N":"3"}}}', "", "[{\"a\":{\"N\":\"4\"}}]", '{"a":{"N":"5"}}', "{bad"])
+    parsed = records.json_records(lines_)
+    assert [r.error for r in parsed.where("error is not null").collect()] == ["{bad"]
+    items = records.unwrapped(parsed.where("error is null"))
+    assert sorted(r[0] for r in items.select(F.try_variant_get("item", "$.a.N", "string")).collect()) == ["1.50", "2", "3", "4", "5"]
+    assert [r.command for r in records.command_file(lines(spark, ["# c", " SET a b ", ""])).collect()] == ["SET a b"]
+    keys = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xff\x00"),)], "key binary")
+    assert [r[0] for r in keys.select(records.key_text(F.col("key"))).collect()] == ["é", "0xFF00"]
