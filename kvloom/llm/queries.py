@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embed_dedup, lang_id, media, mixing, ngram_join, secrets, sharding, suffix_dedup, toxicity
+from . import bpe, embed_dedup, lang_id, media, mixing, ngram_join, oracles, secrets, sharding, suffix_dedup, toxicity
 from .common import read
 
 
@@ -74,4 +74,8 @@ QUERIES = {
     "op10_balanced_shards": op10_balanced_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op4_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op8_suffix_dedup": oracles.SUFFIX_DEDUP,
+}
