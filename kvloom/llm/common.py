@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,12 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id) == 0
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: its cleaner waits for the driver's garbage collection, which a small plan may not cause for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A table of keys is broadcast only if it is counted to have at most so many rows.
 BROADCAST_ROWS = 500_000
 
@@ -68,7 +75,7 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-SLICE = 1_000
+SLICE = 500
 _ARROW = {"long": "int64", "int": "int32", "double": "float64", "string": "string", "binary": "binary", "boolean": "bool_"}
 
 

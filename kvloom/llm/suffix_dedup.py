@@ -11,9 +11,10 @@ KGRAM bytes. Equal strings have equal anchors, so work can be dealt out by ancho
 1. Anchors of every document are shuffled as numbers; those of one text only are
    dropped. A text of no other's anchors is done.
 2. Of texts with shared anchors, the stretches under these anchors are sent to the
-   anchor's partition. Equal stretches are combined first: only the first document
-   that has one is indexed, and later ones are covered by it from end to end. So a
-   passage that a third of all documents share is one row.
+   anchor's partition. Equal stretches are combined before and after the shuffle:
+   only the first document that has one is indexed, and later ones are covered by
+   it from end to end. So a passage that a third of all documents share is one row
+   a batch of documents.
 3. A partition takes its stretches in batches by document id. A batch gets a suffix
    array and is merge-scanned against the levels of the family for strings that a
    smaller document has; then it becomes a level, and levels of like size merge
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_columns, materialize, parts, release, small_or_shuffled
+from .common import map_columns, materialize, parts, release, small_or_shuffled, sweep
 from .ngram_join import _lists, _mix, _weight
 
 LENGTH = 50
@@ -190,38 +191,48 @@ def _covered(length: int):
 
 
 def _stretches(docs: DataFrame, length: int, kgram: int) -> DataFrame:
-    """docs(doc_id, text, shared: anchors) -> doc_id, anchor, content (fingerprint), start, bytes of each run of strings under a shared anchor."""
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T._parse_datatype_string(k)) for n, k in (("anchor", "long"), ("content", "long"), ("start", "long"), ("bytes", "binary"))]])
+    """docs(doc_id, text, shared: anchors) -> doc_id, anchor, content (fingerprint), start, n, bytes of each run of strings under a shared anchor.
+
+    Bytes go along once for each content of a batch, with its smallest document:
+    a passage that every third document has is few rows with bytes.
+    """
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T._parse_datatype_string(k)) for n, k in (("anchor", "long"), ("content", "long"), ("start", "long"), ("n", "long"), ("bytes", "binary"))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                index, anchor, content, start, out = [], [], [], [], []
-                for i, (text, shared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                    raw = _raw(text)
-                    a = anchors(raw, length, kgram)
-                    if not a.size:
-                        continue
-                    cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                    ends = np.append(cut[1:], a.size) + length - 1
-                    keep = np.isin(a[cut], shared.values.to_numpy().view(np.uint64))
-                    for s, e in zip(cut[keep].tolist(), ends[keep].tolist()):
-                        index.append(i)
-                        start.append(s)
-                        out.append(raw[s:e])
-                        content.append(int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "big", signed=True))
-                    anchor.append(a[cut][keep].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(index, pa.int64())),
-                        pa.array(np.concatenate([*anchor, np.zeros(0, np.int64)])),
-                        pa.array(content, pa.int64()),
-                        pa.array(start, pa.int64()),
-                        pa.array(out, pa.binary()),
-                    ],
-                    names=["doc_id", "anchor", "content", "start", "bytes"],
-                )
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            index, anchor, content, start, size, out = [none], [none], [], [none], [none], []
+            for i in range(batch.num_rows):
+                raw = _raw(batch.column(1)[i].as_py())
+                a = anchors(raw, length, kgram)
+                if not a.size:
+                    continue
+                cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                ends = np.append(cut[1:], a.size) + length - 1
+                keep = np.isin(a[cut], batch.column(2)[i].values.to_numpy().view(np.uint64))
+                cut, ends = cut[keep], ends[keep]
+                pieces = [raw[s:e] for s, e in zip(cut.tolist(), ends.tolist())]
+                index.append(np.full(cut.size, i))
+                start.append(cut)
+                size.append(ends - cut)
+                content += [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "big", signed=True) for p in pieces]
+                out += pieces
+                anchor.append(a[cut].view(np.int64))
+            index, anchor, start, size = (np.concatenate(x) for x in (index, anchor, start, size))
+            docs_of = batch.column(0).to_numpy(zero_copy_only=False)[index]
+            by = np.lexsort((docs_of, np.array(content, np.int64), anchor))
+            a, c = anchor[by], np.array(content, np.int64)[by]
+            first = np.ones(by.size, bool)
+            first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            carry = np.zeros(by.size, bool)
+            carry[by[first]] = True
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(index)), pa.array(anchor), pa.array(content, pa.int64()), pa.array(start), pa.array(size),
+                    pa.array([b if k else None for b, k in zip(out, carry.tolist())], pa.binary()),
+                ],
+                names=["doc_id", "anchor", "content", "start", "n", "bytes"],
+            )
 
     return docs.select("doc_id", "text", "shared").mapInArrow(run, schema)
 
@@ -263,20 +274,26 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM)
     numbers = map_columns(able, ["cls"], ["text"], start, {"anchors": "array<long>"}).select(F.explode("anchors").alias("anchor"), "cls")
     shared = _shared(numbers).groupBy("cls").agg(F.collect_set("anchor").alias("shared"))
     shared = materialize(shared.join(firsts.select("cls", F.col("first_id").alias("doc_id")), "cls"), "shared")
+    sweep(docs.sparkSession)
     touched = materialize(shared.select("doc_id").distinct(), "touched")
     texts = able.join(small_or_shuffled(touched), "doc_id", "left_semi").join(shared.select("doc_id", "cls", "shared"), ["doc_id", "cls"]).select("doc_id", "text", "shared")
     rows = materialize(_stretches(texts, length, kgram), "stretches")
-    content = rows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc"), F.first("bytes").alias("bytes"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
-    indexed = content.select("anchor", "content", "first_doc", "bytes").repartition(4 * parts(docs.sparkSession), "anchor").sortWithinPartitions("first_doc")
+    sweep(docs.sparkSession)
+    # One shuffle by anchor serves the contents' first documents and the index.
+    content = rows.where("bytes is not null").select("anchor", "content", "doc_id", "bytes").repartition(4 * parts(docs.sparkSession), "anchor")
+    content = content.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc"), F.min_by("bytes", "doc_id").alias("bytes")).sortWithinPartitions("first_doc")
     doc_kind = dict(rows.dtypes)["doc_id"]
-    cover = indexed.mapInArrow(_covered(length), f"anchor long, content long, first_doc {doc_kind}, spans array<long>")
-    at = rows.select("doc_id", "anchor", "content", "start", F.length("bytes").alias("n")).join(cover, ["anchor", "content"])
+    cover = materialize(content.mapInArrow(_covered(length), f"anchor long, content long, first_doc {doc_kind}, spans array<long>"), "cover")
+    sweep(docs.sparkSession)
+    at = rows.select("doc_id", "anchor", "content", "start", "n").join(cover, ["anchor", "content"])
     whole = F.array(F.lit(0).cast("long"), F.col("n").cast("long"))
     spans = at.select("doc_id", "start", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("spans")).alias("spans")).where(F.size("spans") > 0)
     even = lambda odd: F.filter(F.transform("spans", lambda x, i: F.when(i % 2 == odd, x + F.col("start"))), lambda x: x.isNotNull())
     spans = spans.select("doc_id", even(0).alias("s"), even(1).alias("e")).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
     spans = materialize(spans, "spans")
     release(rows)
+    release(cover)
+    sweep(docs.sparkSession)
     cut = _cut(plain.join(small_or_shuffled(spans.select("doc_id")), "doc_id", "left_semi").join(spans, "doc_id"))
     cut = materialize(cut.withColumn("cut_id", F.col("doc_id")).drop("doc_id").dropDuplicates(["cut_id"]), "cut")
     done = info.join(firsts.select("sha", "first_id"), "sha", "left")
