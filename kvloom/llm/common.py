@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -57,9 +58,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done: its cleaner waits for the driver's garbage collection, which a small plan may not cause for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs that are done.
+
+    Its cleaner waits for the driver's garbage collection, which small plans may
+    not cause for long. What a job's listeners still hold is found the second time.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 #: A table of keys is broadcast only if it is counted to have at most so many rows.

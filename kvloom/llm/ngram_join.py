@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_columns, materialize, release, small_or_shuffled
+from .common import map_columns, materialize, release, small_or_shuffled, sweep
 from .components import components
 
 N = 5
@@ -120,7 +120,8 @@ def shingle_sets(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR
 def _may_link(classes: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """(doc_id) of classes whose head is seen elsewhere often enough to be linked."""
     heads = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "digest", "head")
-    heads = heads.join(classes.select("rep", F.col("digest").alias("d")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")), "left_semi")
+    reps = small_or_shuffled(classes.select("rep", F.col("digest").alias("d")))
+    heads = heads.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")), "left_semi")
     seen = heads.select("doc_id", "n_shingles", F.explode("head").alias("gram"))
     twice = seen.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
     least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n_shingles") * similar[0] / similar[1]) / 10))
@@ -234,10 +235,11 @@ def _linked(ordered: DataFrame, clusters: DataFrame, classes: DataFrame, similar
     member = ordered.select("doc_id", "n", F.col("grams.gram").alias("grams"), F.col("grams.df").alias("dfs")).join(clusters, "doc_id").join(copies, "doc_id")
     by_docs, by_grams = F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum(F.size("grams")) / BLOCK_NGRAMS)
     blocks = member.groupBy("cluster").agg(F.greatest(by_docs, by_grams).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1")
-    dealt = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = member.join(small_or_shuffled(materialize(blocks, "blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "copies", "grams", "dfs")
-    return pairs.groupBy("cluster", "i", "j").applyInPandas(_compare(similar, FRAGMENT), f"doc_id {dict(ordered.dtypes)['doc_id']}, root {dict(ordered.dtypes)['doc_id']}, links long")
+    # Dealt by the whole key: rows that lie by cluster already would leave all pairs of a cluster's blocks to one task.
+    return pairs.repartition("cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_compare(similar, FRAGMENT), f"doc_id {dict(ordered.dtypes)['doc_id']}, root {dict(ordered.dtypes)['doc_id']}, links long")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -247,7 +249,9 @@ def jaccard_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = S
     named = sets.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     able = materialize(_may_link(classes, sets, similar), "able")
+    sweep(docs.sparkSession)
     ordered = materialize(_ordered(plain.where("doc_id is not null"), able, n, similar), "ordered")
+    sweep(docs.sparkSession)
     linked = materialize(_linked(ordered, _candidates(ordered, similar), classes, similar), "linked")
     found = components(linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("doc_id").agg(F.sum("links").alias("near"))
