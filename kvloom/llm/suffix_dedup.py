@@ -21,6 +21,10 @@ KGRAM bytes. Equal strings have equal anchors, so work can be dealt out by ancho
    geometrically. At n suffixes there are about log2(n / batch) levels.
 4. Covered strings become spans of their documents.
 
+A partition's family holds 16 bytes for each distinct string under its anchors, and
+there are four partitions for each of spark.sql.shuffle.partitions, which so has to
+follow the input, as it does for any shuffle.
+
 Exact copies are told by SHA-256 before that: all but the smallest id lose their
 whole text if it has LENGTH bytes. Fingerprints of two different strings are equal
 with a probability of 2**-64 a pair, and only within a partition.
