@@ -37,8 +37,8 @@ from .common import map_columns
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
-TABLE_ENTRIES = 2_000_000
-WORD_ENTRIES = 250_000
+TABLE_ENTRIES = 400_000
+WORD_ENTRIES = 150_000
 #: Fixed pattern of the vocabulary's file; white space as its library reads it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x85\p{Z}\p{L}\p{N}]+")
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")

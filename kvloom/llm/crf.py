@@ -9,8 +9,9 @@ against the neighbours' by forward-backward, over all chains of a batch at once.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,20 +21,31 @@ from .common import held_out
 #: A word of letters, or the end of a chain.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = ".!?\n"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
-def hashed(names: Iterable[str], dims: int) -> list[int]:
-    return [zlib.crc32(n.encode()) % dims for n in names]
+BIAS = 1
 
 
-def affixes(word: str, longest: int) -> list[str]:
-    return [f"p{word[:k]}" for k in range(1, min(longest, len(word)) + 1)] + [f"s{word[-k:]}" for k in range(1, min(longest, len(word)) + 1)]
+def coded(word: str) -> bytes:
+    """Two bytes a character, so that slices are cut between characters."""
+    return word.encode("utf-16-le", "surrogatepass")
 
 
-def ngrams(word: str, n: int) -> list[str]:
-    edged = f"^{word}$"
-    return [f"g{edged[i : i + n]}" for i in range(len(edged) - n + 1)]
+def whole(e: bytes) -> int:
+    return crc32(e, 5)
+
+
+def affixes(e: bytes, longest: int) -> list[int]:
+    """Hashes of the beginnings and ends of up to ``longest`` characters."""
+    ends = range(2, min(2 * longest, len(e)) + 1, 2)
+    return [crc32(e[:k], 2) for k in ends] + [crc32(e[-k:], 3) for k in ends]
+
+
+def ngrams(e: bytes, n: int) -> list[int]:
+    """Hashes of the character n-grams of the word with marked ends."""
+    edged = b"^\0" + e + b"$\0"
+    return [crc32(edged[i : i + 2 * n], 4) for i in range(0, len(edged) - 2 * n + 2, 2)]
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -92,9 +104,9 @@ def chains(rows: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Field:
-    """Weights of the field; features(word) -> names."""
+    """Weights of the field; features(word) -> hashes."""
 
-    def __init__(self, labels: list, features: Callable[[str], list[str]], dims: int = 1 << 16):
+    def __init__(self, labels: list, features: Callable[[str], list[int]], dims: int = 1 << 16):
         self.labels, self.features, self.dims = labels, features, dims
         k = len(labels)
         self.weights = np.zeros((dims, k), np.float32)
@@ -109,8 +121,9 @@ class Field:
         return sums
 
     def _index(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [hashed(self.features(w), self.dims) for w in words]
-        return np.array([i for f in each for i in f], np.int64), np.concatenate([[0], np.cumsum([len(f) for f in each], dtype=np.int64)])
+        each = list(map(self.features, words))
+        bounds = np.concatenate([[0], np.cumsum(list(map(len, each)), dtype=np.int64)])
+        return np.fromiter(chain.from_iterable(each), np.int64, int(bounds[-1])) % self.dims, bounds
 
     def fit(self, texts: list[str], gold: Callable[[int, str], int], epochs: int = 4, batch_docs: int = 64, rate: float = 0.2, l2: float = 1e-6, seed: int = 7) -> "Field":
         """Adagrad on the chains' conditional likelihood. gold(document, word) -> label's number."""
@@ -171,7 +184,7 @@ class Tagger:
             self.words, self.table = Words(), self.table[:0]
         tokens = [TOKEN.findall(t) if t else [] for t in texts]
         counts = np.array([len(t) for t in tokens], np.int64)
-        rows = np.fromiter((r for t in tokens for r in map(self.words.__getitem__, t)), np.int64, int(counts.sum()))
+        rows = np.fromiter(map(self.words.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
         if self.words.new:
             fresh = self.field.scores([w.lower() for w in self.words.new])
             self.table = np.vstack([self.table, fresh.astype(np.float32)])

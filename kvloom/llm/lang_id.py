@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import crf
-from .common import held_out, map_columns
+from .common import held_out, map_columns, small_batches
 
 PER_LANGUAGE = 300
 UNKNOWN = "und"
@@ -31,13 +31,14 @@ LEXICON_LEAST = 5
 
 class WordFeatures:
     def __init__(self, lexicon: dict[str, str]):
-        self.lexicon = lexicon
+        self.lexicon = {w: crf.whole(f"<{langs}>".encode()) for w, langs in lexicon.items()}
 
-    def __call__(self, word: str) -> list[str]:
-        names = ["b", f"w{word}", *crf.affixes(word, 3), *crf.ngrams(word, 3)]
+    def __call__(self, word: str) -> list[int]:
+        e = crf.coded(word)
+        own = [crf.BIAS, crf.whole(e), *crf.affixes(e, 3), *crf.ngrams(e, 3)]
         if word in self.lexicon:
-            names.append(f"l{self.lexicon[word]}")
-        return names
+            own.append(self.lexicon[word])
+        return own
 
 
 def lexicon_of(sample: list[tuple[str, str]], least: int = LEXICON_LEAST) -> dict[str, str]:
@@ -109,5 +110,6 @@ def keep_known(docs: DataFrame, field: crf.Field | None, least_score: float = 0.
 
         return make
 
+    small_batches(docs.sparkSession)
     out = map_columns(docs, docs.columns, ["text"], start, {"_keep_language": "boolean"})
     return out.where("_keep_language").select(*docs.columns)

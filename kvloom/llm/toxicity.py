@@ -32,8 +32,9 @@ LEAST_DOCS = 3
 MOST_CLEAN = 0.03
 
 
-def word_features(word: str) -> list[str]:
-    return ["b", f"w{word}", *crf.affixes(word, 5), *crf.ngrams(word, 4)]
+def word_features(word: str) -> list[int]:
+    e = crf.coded(word)
+    return [crf.BIAS, crf.whole(e), *crf.affixes(e, 5), *crf.ngrams(e, 4)]
 
 
 def toxic_words(sample: list[tuple[str, int]]) -> set[str]:
