@@ -172,25 +172,33 @@ class Field:
 
 
 class Tagger:
-    """Marginals of texts, with the scores of words seen before kept by a process."""
+    """Marginals of texts, with the scores of words seen before kept by a process.
 
-    def __init__(self, field: Field):
-        self.field = field
+    mark(word), if given, is a number kept beside a word's scores; ``marked`` has those of the words of the last call.
+    """
+
+    def __init__(self, field: Field, mark: Callable[[str], float] | None = None):
+        self.field, self.mark = field, mark
         self.words, self.table = Words(), np.zeros((0, len(field.labels)), np.float32)
+        self.marks = self.marked = np.zeros(0, np.float32)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document of each word, the word's place among its document's tokens, marginals), words in order."""
         if len(self.words) > CACHED_WORDS:
-            self.words, self.table = Words(), self.table[:0]
+            self.words, self.table, self.marks = Words(), self.table[:0], self.marks[:0]
         tokens = [TOKEN.findall(t) if t else [] for t in texts]
         counts = np.array([len(t) for t in tokens], np.int64)
         rows = np.fromiter(map(self.words.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
         if self.words.new:
             fresh = self.field.scores([w.lower() for w in self.words.new])
             self.table = np.vstack([self.table, fresh.astype(np.float32)])
+            if self.mark:
+                self.marks = np.concatenate([self.marks, np.array([self.mark(w.lower()) for w in self.words.new], np.float32)])
             self.words.new = []
         docs = np.repeat(np.arange(len(texts)), counts)
         at, lengths, own = chains(rows, docs)
+        if self.mark:
+            self.marked = self.marks[rows[at]]
         p = forward_backward(self.table[rows[at]].astype(np.float64), lengths, self.field.moves, self.field.starts) if at.size else np.zeros((0, len(self.field.labels)))
         return own, at - (np.cumsum(counts) - counts)[own], p
 

@@ -120,6 +120,21 @@ def test_language(spark):
     assert lang_id.predict(empty(spark), None).count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark):
+    """Random letters and a language outside the sample go, whatever the number of labels; learned and code-switched texts stay."""
+    r = random.Random(11)
+    heads = {"en": ["the", "and", "th", "wh", "ing", "sh"], "de": ["und", "der", "sch", "ein", "pf", "ung"], "fr": ["eau", "que", "oir", "é", "les", "aux"]}
+    say = lambda lang, n=40: " ".join("".join(r.choice(heads[lang]) for _ in range(r.randrange(1, 3))) for _ in range(n))
+    noise = lambda n=40: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 10))) for _ in range(n))
+    for learned in (("en",), ("en", "de")):
+        rows = [(i, say(learned[i % len(learned)]), learned[i % len(learned)]) for i in range(200)]
+        rows += [(1000 + i, noise(), None) for i in range(30)] + [(2000 + i, say("fr"), None) for i in range(30)]
+        rows += [(3000 + i, say(learned[0], 20) + " " + say(learned[-1], 20), None) for i in range(30)] + [(4000, "zq xj", None), (4001, "12 !", None), (4002, "\u043c\u0438\u0440 " * 20, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        kept = {x.doc_id for x in lang_id.keep_known(docs, lang_id.fit(docs)).collect()}
+        assert kept == {*range(200), *range(3000, 3030), 4000}
+
+
 def test_code_switching():
     field = crf.Field(["de", "en"], lang_id.WordFeatures({}))
     sample = ["the cat sat here. it was the best", "und der hund lief weg. das war gut"] * 40
