@@ -2,11 +2,20 @@
 
 A tokenizer's vocabulary holds what people write, so ordinary words, paths and
 names cost few tokens a character, while random strings fall apart into short
-pieces. A run of token characters of MIN_RUN or more is exposed if it has fewer
+pieces. A string of token characters of MIN_RUN or more is exposed if it has fewer
 than MAX_RATIO characters a token, mixes kinds of characters, touches no base
 span, and is not a known digest (hex of a digest's length), a UUID, a date or
 number, or an identifier made of words.
 
+Strings are the whole run of token characters and, as words beside a random string
+would hide it in the average, if the run is not exposed as a whole: the stretches
+of neighbouring segments between separators (- _ / + =), cut at base spans, UUIDs
+and times. Only stretches are tried that could not be halved into two of MIN_RUN:
+of a longer exposed one, some part is as dense in tokens. Half of a stretch must not be
+words, or its segments have fewer than SHORT_RATIO characters a token. Exposed stretches lose
+ordinary words at their ends where what is left is exposed, and those that overlap
+are one span.
+
 Offsets are code points, end exclusive. Defined results: a null text is as
 empty, and both have no spans; rows are judged one by one, so repeated rows give
 repeated results; other columns are not read.
@@ -17,6 +26,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
+from functools import cache
 
 import public_tokenizers
 import tiktoken
@@ -34,8 +45,12 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 MIN_RUN = 20
 MAX_RATIO = 2.4
+SHORT_RATIO = 2.0
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")
+#: Known identifiers inside a run: UUIDs and times.
+KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-][0-9]{2}-?[0-9]{2}-?[0-9]{2}Z?)(?![A-Za-z0-9])")
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 WORDY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*$")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -76,17 +91,90 @@ def kinds_mixed(run: str) -> int:
     return any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run) + any("0" <= c <= "9" for c in run)
 
 
+def exposed(run: str, enc: tiktoken.Encoding, max_ratio: float) -> bool:
+    if len(run) < MIN_RUN or kinds_mixed(run) < 2 or is_identifier(run):
+        return False
+    return len(run) < max_ratio * len(enc.encode_ordinary(run))
+
+
+def stretches(text: str, start: int, end: int, enc: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int]]:
+    """Exposed stretches of segments of text[start:end], overlapping ones as one."""
+    segments = [m.span() for m in SEGMENT.finditer(text, start, end)]
+
+    @cache
+    def facts(k: int) -> tuple[int, int, bool]:
+        word = text[slice(*segments[k])]
+        return len(word), len(enc.encode_ordinary(word)), bool(WORDY.match(word))
+
+    def ordinary(k: int) -> bool:
+        n, tokens, word = facts(k)
+        return word and n >= max_ratio * tokens
+
+    def hides(i: int, j: int) -> bool:
+        """Separators make many tokens of short words, so one of the segments' own measures must be a random string's."""
+        if not exposed(text[segments[i][0] : segments[j][1]], enc, max_ratio):
+            return False
+        own = [facts(k) for k in range(i, j + 1)]
+        n = sum(f[0] for f in own)
+        return 2 * sum(f[0] for f in own if not f[2]) >= n or n < SHORT_RATIO * sum(f[1] for f in own)
+
+    tight, loose = [], []  # without ordinary words at the ends; with some, as the rest is below MIN_RUN
+    for i, (a, _) in enumerate(segments):
+        for j in range(i, len(segments)):
+            if j > i and segments[j - 1][1] - a >= 2 * MIN_RUN:
+                break
+            if not hides(i, j):
+                continue
+            low, high = i, j
+            while low < high and ordinary(low):
+                low += 1
+            while low < high and ordinary(high):
+                high -= 1
+            core = (segments[low][0], segments[high][1])
+            if hides(low, high):
+                tight.append(core)
+            else:
+                loose.append((core, (a, segments[j][1])))
+    whole = merged(tight)
+    starts = [a for a, _ in whole]
+    for core, wide in loose:
+        k = bisect_left(starts, core[1]) - 1
+        tight.append(core if k >= 0 and core[0] < whole[k][1] else wide)
+    return merged(tight)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, by start."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], enc: tiktoken.Encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    found = []
+    found, first = [], 0
     for m in RUN.finditer(text):
+        while first < len(base) and base[first][1] <= m.start():
+            first += 1
+        touched = []
+        for a, b, _ in base[first:]:
+            if a >= m.end():
+                break
+            if b > m.start():
+                touched.append((a, b))
         run = m[0].strip("=-_/+")
-        if len(run) < MIN_RUN or kinds_mixed(run) < 2 or is_identifier(run):
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        if len(run) < max_ratio * len(enc.encode_ordinary(run)):
+        if not touched and exposed(run, enc, max_ratio):
             start = m.start() + m[0].index(run)
             found.append((start, start + len(run), KINDS[3]))
+            continue
+        at = m.start()
+        for a, b in [*sorted(touched + [k.span() for k in KNOWN.finditer(text, m.start(), m.end())]), (m.end(), m.end())]:
+            if a - at >= MIN_RUN and kinds_mixed(text[at:a]) > 1:
+                found += [(x, y, KINDS[3]) for x, y in stretches(text, at, a, enc, max_ratio)]
+            at = max(at, b)
     return found
 
 

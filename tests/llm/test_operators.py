@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -185,6 +186,29 @@ def test_secret_base_is_the_plain_patterns():
         assert sorted(secrets.base_spans(t)) == sorted(want)
 
 
+def test_random_strings_beside_words_and_base_spans():
+    import public_tokenizers
+
+    enc = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    r = random.Random(12)
+    scan = lambda t: secrets.random_spans(t, secrets.base_spans(t), enc)
+    heads = ("users/profile/settings/download/documents/", "repository/archive/releases/production/configuration/credentials/", "0123456789abcdef01/")
+    for head in heads:
+        missed = 0
+        for n in [20, 24, 32] * 40:
+            key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+            spans = scan(head + key + "/archive/documents")
+            missed += not any(a <= len(head) and b >= len(head) + n for a, b, _ in spans)
+        assert missed == 0, head
+    split = "repository/archive/releases/production/configuration/credentials/Xq9-vB7_kZ2-Lp4_Wt8-Rj3/archive/documents/configuration/credentials/production/repository/releases/download"
+    assert [split[a:b] for a, b, _ in scan(split)] == ["Xq9-vB7_kZ2-Lp4_Wt8-Rj3"]
+    for plain in ("repository/archive/releases/production/configuration/credentials/123e4567-e89b-12d3-a456-426614174000/documents/repository/releases", "archive/Production_Configuration/releases/2024-01-02T03-04-05Z/documents", "some_long_identifier_name_here/with/Many/More/words2/in/it"):
+        assert scan(plain) == [], plain
+    began = time.time()
+    scan("a1-B2_c/" * 20_000)
+    assert time.time() - began < 30
+
+
 def test_mask(spark):
     docs = frame(spark, [(1, 'x password="abcdef123456" y'), (2, None), (None, "plain")])
     got = secrets.mask(docs)
