@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,11 +147,43 @@ def npy(pixels: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(pixels: np.ndarray, side: int = SIDE) -> Iterator[tuple[int, int, bytes]]:
-    """(row, column, NPY bytes) of each tile; those at the right and lower edge may be smaller."""
-    for y in range(0, pixels.shape[0], side):
-        for x in range(0, pixels.shape[1], side):
-            yield y // side, x // side, npy(pixels[y : y + side, x : x + side])
+@cache
+def _npy_head(shape: tuple[int, int]) -> bytes:
+    """What stands before the pixels of a grey NPY tile of that shape."""
+    return npy(np.zeros(shape, np.uint8))[: -shape[0] * shape[1]]
+
+
+#: Ninths of a tile's width, in thirds of a pixel: the weight of each of SIDE columns in each of 9 means.
+_NINTHS = np.array([[max(0, min(3 * x + 3, 8 * c + 8) - max(3 * x, 8 * c)) for c in range(9)] for x in range(SIDE)], np.float32)
+
+
+def tile_hashes(whole: np.ndarray) -> np.ndarray:
+    """difference_hash of many SIDE x SIDE tiles (n, SIDE, SIDE) at once; all sums are whole numbers."""
+    sums = whole.reshape(-1, 8, 3, SIDE).sum(axis=2, dtype=np.float32) @ _NINTHS
+    return np.packbits((np.diff(sums, axis=2) > 0).reshape(-1, 64), axis=1).view(">u8").ravel()
+
+
+def tiles(pixels: np.ndarray, side: int = SIDE) -> Iterator[tuple[int, int, bytes, int]]:
+    """(row, column, NPY bytes, difference hash) of each tile of a grey image; those at the right and lower edge may be smaller."""
+    h, w = pixels.shape
+    high, wide = (h // side, w // side) if side == SIDE else (0, 0)
+    grid = pixels[: high * side, : wide * side].reshape(high, side, wide, side).swapaxes(1, 2)
+    hashes = tile_hashes(np.ascontiguousarray(grid)).reshape(high, wide)
+    for y in range(0, h, side):
+        for x in range(0, w, side):
+            i, j = y // side, x // side
+            tile = pixels[y : y + side, x : x + side]
+            yield i, j, _npy_head(tile.shape) + tile.tobytes(), int(hashes[i, j]) if i < high and j < wide else difference_hash(tile)
+
+
+def read_tiles(stored: list[tuple[int, int, bytes, int]]) -> np.ndarray:
+    """The grey image that tiles() cut, from its NPY bytes."""
+    rows: list[list[np.ndarray]] = []
+    for i, _, raw, _ in stored:
+        if i == len(rows):
+            rows.append([])
+        rows[i].append(np.load(io.BytesIO(raw), allow_pickle=False))
+    return np.concatenate([np.concatenate(r, axis=1) if len(r) > 1 else r[0] for r in rows])
 
 
 def media_tiles(df: DataFrame, media: str = "media", keys: tuple[str, ...] = ("doc_id",), side: int = SIDE) -> DataFrame:
@@ -164,8 +197,7 @@ def media_tiles(df: DataFrame, media: str = "media", keys: tuple[str, ...] = ("d
                 one, rows = batch.slice(at, 1), []
                 try:
                     pixels = grey(decode(one.column(len(keys))[0].as_py() or b""))
-                    for y, x, tile in tiles(pixels, side):
-                        h = difference_hash(pixels[y * side : (y + 1) * side, x * side : (x + 1) * side])
+                    for y, x, tile, h in tiles(pixels, side):
                         rows.append((y, x, tile, h - (1 << 64) if h >> 63 else h, None))
                 except (ValueError, struct.error) as e:
                     rows = [(None, None, None, None, str(e)[:200])]
@@ -195,15 +227,27 @@ def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what the stored bytes give when read back: payload size and digests, size, difference hash and mean."""
+    """doc_id, n_bytes and what the stored bytes give as NPY tiles.
+
+    The image is decoded, cut into tiles of SIDE x SIDE (UNIT bytes), and read
+    back from the tiles: payload size, payload_sha256 and tail_crc32. media_bytes
+    and media_sha256 are of the tiles' NPY bytes in order. feature is height x
+    width, number of tiles, the first 16 hex digits of the SHA-256 of all tile
+    hashes in order (8 bytes each, big-endian), and the mean.
+    """
 
     def make(stored: list) -> list[list]:
         rows = []
         for raw in stored:
-            pixels = decode(raw)
+            cut = list(tiles(grey(decode(raw))))
+            pixels = read_tiles(cut)
             payload = pixels.tobytes()
-            feature = f"{pixels.shape[0]}x{pixels.shape[1]}:{difference_hash(pixels):016x}:{pixels.mean():.4f}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
+            digest = hashlib.sha256()
+            for _, _, tile, _ in cut:
+                digest.update(tile)
+            folded = hashlib.sha256(struct.pack(f">{len(cut)}Q", *(h for _, _, _, h in cut))).hexdigest()[:16]
+            feature = f"{pixels.shape[0]}x{pixels.shape[1]}:{len(cut)}:{folded}:{pixels.mean():.4f}"
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sum(len(t) for _, _, t, _ in cut), digest.hexdigest(), feature))
         return list(zip(*rows))
 
     fields = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}

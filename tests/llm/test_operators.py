@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, on tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import io
 import random
 import re
 import time
@@ -423,3 +424,26 @@ def test_differencing_beats_dealing():
         parts[p[0]] += s
     assert sorted(parts) == sorted(sums) and max(parts) - min(parts) <= 2
     assert sharding.difference([(5, 0)], 2)[1] in ([5, 0], [0, 5])
+
+
+def test_query_stores_texts_as_npy_tiles(spark):
+    """op9's rows are folds of the rows of media_tiles, by PGM and by BMP alike, and a change in one tile shows in the feature."""
+    text = "".join(chr(33 + (i * i) % 90) for i in range(5 * media.UNIT))
+    rows = [(1, text), (2, text[:-1] + "~"), (3, None), (4, "short"), (5, text[: 2 * media.UNIT])]
+    seen = []
+    for form in ("pgm", "bmp"):
+        stored = media.text_media(frame(spark, rows), form)
+        got = {x.doc_id: x for x in media.media_features(stored).collect()}
+        cut = media.media_tiles(stored).orderBy("doc_id", "tile_row", "tile_col").collect()
+        for i, t in rows:
+            own = [x for x in cut if x.doc_id == i]
+            payload = b"".join(np.load(io.BytesIO(x.npy)).tobytes() for x in own)
+            assert payload == media.text_payload(t) and len(own) == len(payload) // media.UNIT
+            raw = b"".join(bytes(x.npy) for x in own)
+            assert (got[i].payload_sha256, got[i].tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+            assert (got[i].media_bytes, got[i].media_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+            hashes = b"".join((media.difference_hash(np.load(io.BytesIO(x.npy)))).to_bytes(8, "big") for x in own)
+            assert hashes == b"".join((x.tile_hash % (1 << 64)).to_bytes(8, "big") for x in own)
+            assert got[i].feature.split(":")[1:3] == [str(len(own)), hashlib.sha256(hashes).hexdigest()[:16]]
+        seen.append([tuple(got[i]) for i, _ in rows])
+    assert seen[0] == seen[1]
