@@ -62,12 +62,13 @@ def naming_findings(keys: DataFrame, separator: str = ":", long_bytes: int = 256
 
 
 def near_names(names: DataFrame, most: int = 3000) -> DataFrame:
-    """names(name, keys) -> pairs of the most common names one edit apart. At most ``most`` names meet, by lengths that differ by one at most."""
+    """names(name, keys) -> pairs of the most common names one edit, or one swap of neighbouring characters, apart. At most ``most`` names meet, by lengths that differ by one at most."""
     top = names.orderBy(F.desc("keys"), "name").limit(most).withColumn("size", F.length("name"))
+    swapped = F.expr("exists(sequence(1, greatest(length(a.name) - 1, 1)), i -> concat(left(a.name, i - 1), substr(a.name, i + 1, 1), substr(a.name, i, 1), substr(a.name, i + 2)) = b.name)")
     a, b = top.alias("a"), top.select("name", "keys", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).alias("b")
     return (
         a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.name") < F.col("b.name")))
-        .where(F.levenshtein("a.name", "b.name", 1) == 1)
+        .where((F.levenshtein("a.name", "b.name", 1) == 1) | (F.levenshtein("a.name", "b.name", 2) == 2) & (F.length("a.name") == F.length("b.name")) & swapped)
         .select(F.col("a.name").alias("name"), F.col("b.name").alias("near"))
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kvloom.functions import keys as K, placement as P
 from kvloom.functions.conditions import number_key
-from kvloom.operators import placement, slots, store, traffic
+from kvloom.operators import keyspace, placement, slots, store, traffic
 from kvloom.sources import text as sources
 from kvloom.streaming import traffic as stream
 
@@ -142,3 +142,12 @@ def test_records(spark, tmp_path):
     assert [r.command for r in records.command_file(lines(spark, ["# c", " SET a b ", ""])).collect()] == ["SET a b"]
     keys = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xff\x00"),)], "key binary")
     assert [r[0] for r in keys.select(records.key_text(F.col("key"))).collect()] == ["é", "0xFF00"]
+
+
+def test_near_names_are_an_edit_or_a_swap_apart(spark):
+    names = ["user", "suer", "usre", "users", "uesr", "resu", "euser", "a", "b", "ab", "ba", ""]
+    edit = lambda a, b: any(a == b[:i] + b[i + 1 :] for i in range(len(b))) or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+    swap = lambda a, b: any(a == b[:i] + b[i + 1] + b[i] + b[i + 2 :] for i in range(len(b) - 1))
+    want = {(a, b) for a in names for b in names if a < b and (edit(a, b) or edit(b, a) or swap(a, b))}
+    got = keyspace.near_names(spark.createDataFrame([(n, 1) for n in names], "name string, keys long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and ("suer", "user") in want
