@@ -151,3 +151,16 @@ def test_near_names_are_an_edit_or_a_swap_apart(spark):
     want = {(a, b) for a in names for b in names if a < b and (edit(a, b) or edit(b, a) or swap(a, b))}
     got = keyspace.near_names(spark.createDataFrame([(n, 1) for n in names], "name string, keys long")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and ("suer", "user") in want
+
+
+def test_setting_lines_give_what_last_settings_joins(spark):
+    r = random.Random(13)
+    rows = [(i, r.choice(["hot", "hot", "hot", "a", "b", None]), r.choice("xyz")) for i in r.sample(range(10_000), 600)]
+    lines = spark.createDataFrame(rows, "line long, name string, value string")
+    want = {x.name: (x.value, x.set_by) for x in store.last_settings(lines).collect()}
+    got = {}
+    for x in sorted(store.setting_lines(lines, 7).collect(), key=lambda x: x.place):
+        got.setdefault(x.name, []).append(x)
+    assert {n: (own[0].value, ",".join(str(x.line) for x in own)) for n, own in got.items()} == want
+    assert all([x.place for x in own] == list(range(1, len(own) + 1)) for own in got.values())
+    assert store.setting_lines(lines.limit(0)).count() == 0
