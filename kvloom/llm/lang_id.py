@@ -105,7 +105,8 @@ class Evidence:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> crf.Field | None:
     """The field, from text and lang of at most per_language documents of each language."""
-    sample = crf.training_sample(docs.select("doc_id", "text", "lang"), "lang", per_language)
+    plain = docs.select("doc_id", "text", "lang")
+    sample = crf.training_sample(plain.where(F.col("text").isNotNull()).select("doc_id", "lang"), plain, "lang", per_language)
     if not sample:
         return None
     labels = sorted({lang for _, lang in sample})

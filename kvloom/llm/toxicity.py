@@ -70,9 +70,9 @@ def summaries(own: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     """The model, from the texts and labels.toxic of at most per_label documents of each label."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    plain = docs.select("doc_id", "text")
-    ranked = labelled_ids(marks, per_label)
-    sample = [(t, int(y)) for t, y in crf.training_sample(plain.join(F.broadcast(ranked), "doc_id"), "toxic", per_label)]
+    texts = docs.select("doc_id", "text")
+    ids = texts.where(F.col("text").isNotNull()).select("doc_id").join(marks, "doc_id")
+    sample = [(t, int(y)) for t, y in crf.training_sample(ids, texts, "toxic", per_label)]
     if not any(y for _, y in sample):
         return None
     words = toxic_words(sample)
@@ -90,13 +90,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     return Model(field, logistic(np.vstack(x), y))
 
 
-def labelled_ids(marks: DataFrame, per_label: int) -> DataFrame:
-    """(doc_id, toxic) of at most 2 * per_label labelled rows of each label: some ids have no text."""
-    able = marks.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = crf.Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return able.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * per_label).drop("n")
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
