@@ -39,6 +39,12 @@ def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
 
+def scaled(rows: list) -> np.ndarray:
+    """Vectors in double precision, each divided by a power of two near its largest component: exact, and no square leaves the double range."""
+    x = np.stack(rows).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _signatures(bits: int, tables: int, seed: int):
     @F.pandas_udf("array<int>")
     def signs(vectors: pd.Series) -> pd.Series:
@@ -46,7 +52,7 @@ def _signatures(bits: int, tables: int, seed: int):
         lengths = vectors.map(len)
         for dim in lengths.unique():
             own = vectors[lengths == dim]
-            above = np.stack(own.to_list()).astype(np.float64) @ planes(dim, bits, tables, seed) >= 0
+            above = scaled(own.to_list()) @ planes(dim, bits, tables, seed) >= 0
             codes = above.reshape(len(own), tables, bits) @ (1 << np.arange(bits))
             out[own.index] = list(codes.astype(np.int32))
         return out
@@ -65,7 +71,7 @@ def _compare(cosine: float):
         for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
             if hi - lo < 2:
                 continue
-            x = np.stack(pdf["embedding"].iloc[lo:hi].to_list()).astype(np.float64)
+            x = scaled(pdf["embedding"].iloc[lo:hi].to_list())
             codes = np.stack(pdf["codes"].iloc[lo:hi].to_list())
             side, i, j = pdf["block"].to_numpy()[lo:hi], pdf["i"].iloc[lo], pdf["j"].iloc[lo]
             a = np.flatnonzero(side == i)

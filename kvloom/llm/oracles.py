@@ -14,9 +14,11 @@ sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), ids AS (SELECT doc_id
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, (SELECT count(*) FROM sym WHERE a = d.doc_id) AS n_links
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON x = d.doc_id"""
 
-EMBEDDING_DEDUP = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+EMBEDDING_DEDUP = f"""WITH RECURSIVE r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+f AS (SELECT vec_id, label, e, list_max(list_transform(e, lambda x: abs(x))) AS m FROM r WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(e, lambda x: x / pow(2, floor(log2(m)))) AS e FROM f WHERE m > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
-  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+  WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
 sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), ids AS (SELECT vec_id AS id FROM embeddings), {_REACH}
 SELECT vec_id, (SELECT count(*) FROM sym WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON x = vec_id"""
 
