@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import itertools
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -21,19 +21,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-kvloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Spark's own setting: shuffle files go when the write that needed them is done, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back. Survives lost executors."""
+    """Cut the lineage: write df as a table in the shared folder and read it back. Survives lost executors; the write's shuffle files are deleted with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kvloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kvloom_path = path
     return out
@@ -57,18 +77,6 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id) == 0
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done.
-
-    Its cleaner waits for the driver's garbage collection, which small plans may
-    not cause for long. What a job's listeners still hold is found the second time.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 #: A table of keys is broadcast only if it is counted to have at most so many rows.
 BROADCAST_ROWS = 500_000
 
@@ -82,16 +90,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-SLICE = 250
-BATCH_ROWS = 1_000
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{name}{k}" for k in itertools.count()) if n not in taken)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Send at most so many rows to Python at one time: batches of whole texts are held by Spark and by the worker, on the way in and out."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
+SLICE = 250
 
 _ARROW = {"long": "int64", "int": "int32", "double": "float64", "string": "string", "binary": "binary", "boolean": "bool_"}
 

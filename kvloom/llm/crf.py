@@ -173,9 +173,14 @@ class Field:
         return sums
 
     def _index(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = list(map(self.features, words))
-        bounds = np.concatenate([[0], np.cumsum(list(map(len, each)), dtype=np.int64)])
-        return np.fromiter(chain.from_iterable(each), np.int64, int(bounds[-1])) % self.dims, bounds
+        """(features of the words end to end, where each word's begin)."""
+        parts, sizes = [np.zeros(0, np.int32)], [0]
+        for at in range(0, len(words), 10_000):
+            each = list(map(self.features, words[at : at + 10_000]))
+            own = list(map(len, each))
+            sizes += own
+            parts.append((np.fromiter(chain.from_iterable(each), np.int64, sum(own)) % self.dims).astype(np.int32))
+        return np.concatenate(parts), np.cumsum(sizes)
 
     def fit(self, texts: list[str], gold: Callable[[int, str], int], epochs: int = 4, batch_docs: int = 64, rate: float = 0.2, l2: float = 1e-6, seed: int = 7) -> "Field":
         """Adagrad on the chains' conditional likelihood. gold(document, word) -> label's number. Tokens and features are made once for all epochs."""
@@ -184,8 +189,8 @@ class Field:
         words, tokens, golds = Words(), [], []
         for d, text in enumerate(texts):
             own = TOKEN.findall(text)
-            tokens.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
-            golds.append(np.fromiter([-1 if w in ENDS else gold(d, w.lower()) for w in own], np.int64, len(own)))
+            tokens.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+            golds.append(np.fromiter((-1 if w in ENDS else gold(d, w.lower()) for w in own), np.int16, len(own)))
         index_of, bounds_of = self._index(words.new)
         for _ in range(epochs):
             for part in np.array_split(random.permutation(len(texts)), max(1, len(texts) // batch_docs)):

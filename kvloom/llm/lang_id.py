@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import crf
-from .common import held_out, map_columns, small_batches
+from .common import fresh, held_out, map_columns
 
 PER_LANGUAGE = 300
 UNKNOWN = "und"
@@ -33,6 +33,8 @@ LEXICON_LEAST = 5
 LEAST_DOCS, LEAST_PART = 2, 0.01
 #: A text of LEAST_LETTERS or more has a language only if LEAST_KNOWN of its letters are in words of known trigrams.
 LEAST_LETTERS, LEAST_KNOWN, LOWEST = 20, 0.5, 0.02
+#: Words whose scores a process keeps (see crf.Tagger); the pipeline's workers hold other stages' tables beside them.
+CACHED_WORDS = 75_000
 
 
 class WordFeatures:
@@ -125,7 +127,7 @@ def predict(docs: DataFrame, field: crf.Field | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
 
     def start():
-        tagger = crf.Tagger(field) if field else None
+        tagger = crf.Tagger(field, cached=CACHED_WORDS) if field else None
 
         def make(texts: list) -> list[list]:
             if tagger is None:
@@ -158,7 +160,7 @@ def keep_known(docs: DataFrame, field: crf.Field | None, least_score: float = 0.
     """
 
     def start():
-        tagger = crf.Tagger(field, field.evidence) if field else None
+        tagger = crf.Tagger(field, field.evidence, CACHED_WORDS) if field else None
         least = np.array([field.evidence.least.get(x, 0.0) for x in field.labels]) if field else None
 
         def make(texts: list) -> list[list]:
@@ -173,6 +175,6 @@ def keep_known(docs: DataFrame, field: crf.Field | None, least_score: float = 0.
 
         return make
 
-    small_batches(docs.sparkSession)
-    out = map_columns(docs, docs.columns, ["text"], start, {"_keep_language": "boolean"})
-    return out.where("_keep_language").select(*docs.columns)
+    keep = fresh(docs, "keep_language")
+    out = map_columns(docs, docs.columns, ["text"], start, {keep: "boolean"})
+    return out.where(F.col(keep)).select(*docs.columns)

@@ -33,7 +33,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_columns, small_batches
+from .common import fresh, map_columns
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the contract. A run below its least length is dropped.
@@ -228,7 +228,7 @@ def mask(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = MAX_
 
         return make
 
-    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = map_columns(docs, rest, ["text"], start, {"text": "string", "_n_chars": "long"})
-    return out.select(*[F.col("_n_chars").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    size = fresh(docs, "n_masked")
+    out = map_columns(docs, rest, ["text"], start, {"text": "string", size: "long"})
+    return out.select(*[F.col(size).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])

@@ -1,9 +1,9 @@
 """Removing repeated passages with a logarithmic family of suffix arrays.
 
 A byte goes if it lies in a string of LENGTH bytes that also starts in a document
-with a smaller id. For that, the suffixes of a text are told apart by their first
-LENGTH bytes only; a suffix array here is the sorted array of their 64-bit
-fingerprints with the smallest document of each.
+with a smaller id. For that, suffixes are told apart by their first LENGTH bytes
+only: a suffix array here holds these strings in byte order, equal ones as one, with
+the smallest document of each. Strings are compared as bytes, never by fingerprint.
 
 Every string of LENGTH bytes has an anchor: the least hash among its strings of
 KGRAM bytes. Equal strings have equal anchors, so work can be dealt out by anchor:
@@ -11,28 +11,32 @@ KGRAM bytes. Equal strings have equal anchors, so work can be dealt out by ancho
 1. Anchors of every document are shuffled as numbers; those of one text only are
    dropped. A text of no other's anchors is done.
 2. Of texts with shared anchors, the stretches under these anchors are sent to the
-   anchor's partition. Equal stretches are combined before and after the shuffle:
-   only the first document that has one is indexed, and later ones are covered by
-   it from end to end. So a passage that a third of all documents share is one row
-   a batch of documents.
+   anchor's partition. Equal stretches (128-bit digests) are combined before and
+   after the shuffle: only the first document that has one is indexed, and later
+   ones are covered by it from end to end. So a passage that a third of all
+   documents share is one row a batch of documents.
 3. A partition takes its stretches in batches by document id. A batch gets a suffix
    array and is merge-scanned against the levels of the family for strings that a
    smaller document has; then it becomes a level, and levels of like size merge
-   geometrically. At n suffixes there are about log2(n / batch) levels.
+   geometrically. At n strings there are about log2(n / BATCH_STRINGS) levels.
 4. Covered strings become spans of their documents.
 
-A partition's family holds 16 bytes for each distinct string under its anchors, and
-there are four partitions for each of spark.sql.shuffle.partitions, which so has to
-follow the input, as it does for any shuffle.
+Very common anchors, told from a bounded sample of texts (a hint that decides where
+work is done, not what comes out), are dealt further: their numbers by a salt, since
+they are shared for certain, and their stretches by a second anchor of other k-grams.
+
+A partition's family holds LENGTH + 8 bytes for each distinct string under its
+anchors, and there are four partitions for each of spark.sql.shuffle.partitions,
+which so has to follow the input, as it does for any shuffle.
 
 Exact copies are told by SHA-256 before that: all but the smallest id lose their
-whole text if it has LENGTH bytes. Fingerprints of two different strings are equal
-with a probability of 2**-64 a pair, and only within a partition.
+whole text if it has LENGTH bytes.
 
 Defined results: a null text is as empty; a null id is no smaller than any id and
 has no smaller one, so such rows keep their text and cover none; rows with one id
-are one document and do not cover each other; other columns are not read; an empty
-table gives an empty result.
+are one document and do not cover each other, and each loses what its own text
+repeats of other documents; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -44,12 +48,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_columns, materialize, parts, release, small_or_shuffled, sweep
+from .common import map_columns, materialize, parts, release, small_or_shuffled
 from .ngram_join import _lists, _mix, _weight
 
 LENGTH = 50
-KGRAM = 20
-BATCH_ROWS = 5_000
+KGRAM, SECOND_KGRAM = 20, 12
+BATCH_STRINGS = 400_000
+#: A longer run of strings under one anchor is more than one stretch.
+MOST_STRINGS = 4_096
+#: Texts that are looked at for common anchors; an anchor of HOT_TEXTS of them is common, and at most HOT_MOST are dealt further.
+HOT_SAMPLE, HOT_TEXTS, HOT_MOST, SALTS = 8_192, 16, 100_000, 64
+FAR = np.iinfo(np.int64).max
 
 
 def _words8(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,17 +106,17 @@ def _raw(text: str | None) -> bytes:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """rows(anchor, cls) -> those whose anchor has more than one cls. Partitions are read in order of the anchor, holding one row back."""
+    """rows(anchor, cls, salt) -> (anchor, cls) of those whose anchor has more than one cls, or a salt (known to be common). Partitions are read in order of the anchor, holding one row back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, flagged = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            anchor, cls, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             low, high = np.minimum.reduceat(cls, starts), np.maximum.reduceat(cls, starts)
-            several = low != high
+            several = (low != high) | (salt[starts] > 0)
             extra = []
             if held is not None and anchor[0] == held[0]:
                 if flagged:
@@ -120,34 +129,57 @@ def _shared(rows: DataFrame) -> DataFrame:
             a, c = (np.concatenate([x[keep], np.array([e[i] for e in extra], np.int64)]) for i, x in enumerate((anchor, cls)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["anchor", "cls"])
 
-    return rows.repartition(4 * parts(rows.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, cls long")
+    return rows.repartition(4 * parts(rows.sparkSession), "anchor", "salt").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, cls long")
+
+
+def _common(numbers: DataFrame) -> np.ndarray:
+    """Sorted anchors of many of the sampled texts: numbers(cls, anchor), a text once."""
+    rows = numbers.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_TEXTS).orderBy(F.desc("n"), "anchor").limit(HOT_MOST).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not sorted_.size:
+        return np.zeros(x.size, bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), sorted_.size - 1)] == x
 
 
 class Family:
-    """Levels of sorted fingerprints with the smallest document of each; sizes at least double from level to level."""
+    """Levels: strings in byte order with the smallest document of each; sizes at least double from level to level."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def scan(self, prints: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Which of the sorted prints a level has from a smaller document?"""
-        hit = np.zeros(prints.size, bool)
+    def first_docs(self, strings: np.ndarray) -> np.ndarray:
+        """The smallest document that a level has each of the sorted strings from (FAR: none)."""
+        least = np.full(strings.size, FAR)
         for known, first in self.levels:
-            at = np.minimum(np.searchsorted(known, prints), known.size - 1)
-            hit |= (known[at] == prints) & (first[at] < docs)
-        return hit
+            at = np.minimum(np.searchsorted(known, strings), known.size - 1)
+            same = known[at] == strings
+            least[same] = np.minimum(least[same], first[at[same]])
+        return least
 
-    def add(self, prints: np.ndarray, docs: np.ndarray) -> None:
+    def add(self, strings: np.ndarray, docs: np.ndarray) -> None:
         """A batch's suffix array (sorted, distinct) becomes a level; like-sized levels merge, and the smaller document stays."""
-        level = prints, docs
-        while self.levels and self.levels[-1][0].size <= 2 * level[0].size:
-            other = self.levels.pop()
-            p, d = np.concatenate([other[0], level[0]]), np.concatenate([other[1], level[1]])
-            order = np.lexsort((d, p))
-            p, d = p[order], d[order]
-            first = np.concatenate([[True], p[1:] != p[:-1]])
-            level = p[first], d[first]
-        self.levels.append(level)
+        while self.levels and self.levels[-1][0].size <= 2 * strings.size:
+            known, first = self.levels.pop()
+            strings, docs = distinct(np.concatenate([known, strings]), np.concatenate([first, docs]), "stable")[2:]
+        self.levels.append((strings, docs))
+
+
+def strings_at(raw: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """The strings of length bytes at these places. All have one length, so numpy's comparison, blind to trailing zeros, is one of bytes."""
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), length)[at].view(f"S{length}").ravel()
+
+
+def distinct(strings: np.ndarray, docs: np.ndarray, sort: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, number of the distinct string of each in that order, distinct strings, smallest document of each). sort: stable merges two sorted runs in one pass."""
+    order = np.argsort(strings, kind=sort)
+    strings, docs = strings[order], docs[order]
+    new = np.ones(strings.size, bool)
+    new[1:] = strings[1:] != strings[:-1]
+    starts = np.flatnonzero(new)
+    return order, np.cumsum(new) - 1, strings[starts], np.minimum.reduceat(docs, starts)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,88 +193,112 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _covered(length: int):
     """stretches in order of their first document -> spans of each that smaller documents cover (start, end, start, end, ...)."""
 
+    def spans(family: Family, texts: list[bytes], first_docs: np.ndarray) -> pa.Array:
+        lengths = np.array([len(s) for s in texts], np.int64)
+        sizes = lengths - length + 1
+        row = np.repeat(np.arange(sizes.size), sizes)
+        offset = np.arange(row.size) - (np.cumsum(sizes) - sizes)[row]
+        docs = first_docs[row]
+        # The suffix array of all stretches at once; strings that run over a stretch's end are not in it.
+        order, which, strings, least = distinct(strings_at(b"".join(texts), (np.cumsum(lengths) - lengths)[row] + offset, length), docs, "quicksort")
+        covered = np.zeros(row.size, bool)
+        covered[order] = docs[order] > np.minimum(least, family.first_docs(strings))[which]
+        family.add(strings, least)
+        at_row, at_offset = row[covered], offset[covered]
+        new = np.ones(at_row.size, bool)
+        new[1:] = (at_row[1:] != at_row[:-1]) | (at_offset[1:] > at_offset[:-1] + length)
+        last = np.roll(new, -1)
+        last[-1:] = True
+        flat = np.stack([at_offset[new], at_offset[last] + length], axis=1).ravel()
+        ends = 2 * np.cumsum(np.bincount(at_row[new], minlength=sizes.size))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                texts = batch.column(3).to_pylist()
-                lengths = np.array([len(s) for s in texts], np.int64)
-                sizes = lengths - length + 1
-                row = np.repeat(np.arange(sizes.size), sizes)
-                offset = np.arange(row.size) - (np.cumsum(sizes) - sizes)[row]
-                # All stretches at once; strings that run over a stretch's end are not looked at.
-                prints = fingerprints(b"".join(texts), length)[(np.cumsum(lengths) - lengths)[row] + offset]
-                docs = batch.column(2).to_numpy(zero_copy_only=False)[row]
-                order = np.lexsort((docs, prints))
-                p, d = prints[order], docs[order]
-                first = np.concatenate([[True], p[1:] != p[:-1]])
-                hit = family.scan(p, d) | (d > d[first][np.cumsum(first) - 1])
-                family.add(p[first], d[first])
-                covered = np.zeros(p.size, bool)
-                covered[order] = hit
-                at_row, at_offset = row[covered], offset[covered]
-                new = np.ones(at_row.size, bool)
-                new[1:] = (at_row[1:] != at_row[:-1]) | (at_offset[1:] > at_offset[:-1] + length)
-                last = np.roll(new, -1)
-                last[-1:] = True
-                flat = np.stack([at_offset[new], at_offset[last] + length], axis=1).ravel()
-                ends = 2 * np.cumsum(np.bincount(at_row[new], minlength=sizes.size))
-                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], spans], names=["anchor", "content", "first_doc", "spans"])
+            if not whole.num_rows:
+                continue
+            texts = whole.column(3).to_pylist()
+            upto = np.cumsum([len(s) - length + 1 for s in texts]) // BATCH_STRINGS
+            edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(edges, edges[1:]):
+                batch = whole.slice(lo, hi - lo)
+                found = spans(family, texts[lo:hi], batch.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], found], names=["anchor", "content", "first_doc", "spans"])
 
     return run
 
 
-def _stretches(docs: DataFrame, length: int, kgram: int) -> DataFrame:
-    """docs(doc_id, text, shared: anchors) -> doc_id, anchor, content (fingerprint), start, n, bytes of each run of strings under a shared anchor.
+def cuts(raw: bytes, shared: np.ndarray, common: np.ndarray, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, end of the last string, key) of each stretch: a run of strings with one shared anchor, and under a common one with one second anchor."""
+    a = anchors(raw, length, kgram)
+    none = np.zeros(0, np.int64)
+    if not a.size:
+        return none, none, none
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    wanted = np.isin(a[start], shared)
+    hot = _among(common, a[start]) & wanted
+    if hot.any():
+        second = anchors(raw, length, SECOND_KGRAM)
+        in_hot = np.repeat(hot, np.diff(np.append(start, a.size)))
+        wanted = np.repeat(wanted, np.diff(np.append(start, a.size)))
+        a = np.where(in_hot, _mix(a + second * _weight(9)), a)
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        wanted = wanted[start]
+    end = np.append(start[1:], a.size)
+    start, end = start[wanted], end[wanted]
+    pieces = -(-(end - start) // MOST_STRINGS)
+    step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    key, end = np.repeat(a[start], pieces), np.repeat(end, pieces)
+    start = np.repeat(start, pieces) + step * MOST_STRINGS
+    return start, np.minimum(end, start + MOST_STRINGS) + length - 1, key.view(np.int64)
+
+
+def _stretches(docs: DataFrame, length: int, kgram: int, common: np.ndarray) -> DataFrame:
+    """docs(doc_id, cls, text, shared: anchors) -> doc_id, cls, anchor (key), content (digest), start, n, bytes of each stretch.
 
     Bytes go along once for each content of a batch, with its smallest document:
     a passage that every third document has is few rows with bytes.
     """
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T._parse_datatype_string(k)) for n, k in (("anchor", "long"), ("content", "long"), ("start", "long"), ("n", "long"), ("bytes", "binary"))]])
+    fields = (("anchor", "long"), ("content", "binary"), ("start", "long"), ("n", "long"), ("bytes", "binary"))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["cls"], *[T.StructField(n, T._parse_datatype_string(k)) for n, k in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
             index, anchor, content, start, size, out = [none], [none], [], [none], [none], []
             for i in range(batch.num_rows):
-                raw = _raw(batch.column(1)[i].as_py())
-                a = anchors(raw, length, kgram)
-                if not a.size:
-                    continue
-                cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                ends = np.append(cut[1:], a.size) + length - 1
-                keep = np.isin(a[cut], batch.column(2)[i].values.to_numpy().view(np.uint64))
-                cut, ends = cut[keep], ends[keep]
-                pieces = [raw[s:e] for s, e in zip(cut.tolist(), ends.tolist())]
-                index.append(np.full(cut.size, i))
-                start.append(cut)
-                size.append(ends - cut)
-                content += [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "big", signed=True) for p in pieces]
+                raw = _raw(batch.column(2)[i].as_py())
+                at, ends, key = cuts(raw, batch.column(3)[i].values.to_numpy().view(np.uint64), common, length, kgram)
+                pieces = [raw[s:e] for s, e in zip(at.tolist(), ends.tolist())]
+                index.append(np.full(at.size, i))
+                start.append(at)
+                size.append(ends - at)
+                anchor.append(key)
+                content += [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
                 out += pieces
-                anchor.append(a[cut].view(np.int64))
             index, anchor, start, size = (np.concatenate(x) for x in (index, anchor, start, size))
             docs_of = batch.column(0).to_numpy(zero_copy_only=False)[index]
-            by = np.lexsort((docs_of, np.array(content, np.int64), anchor))
-            a, c = anchor[by], np.array(content, np.int64)[by]
+            same = np.frombuffer(b"".join(content), np.int64).reshape(-1, 2)
+            by = np.lexsort((docs_of, same[:, 1], same[:, 0], anchor))
             first = np.ones(by.size, bool)
-            first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            first[1:] = (anchor[by[1:]] != anchor[by[:-1]]) | (same[by[1:]] != same[by[:-1]]).any(axis=1)
             carry = np.zeros(by.size, bool)
             carry[by[first]] = True
+            of = pa.array(index)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(index)), pa.array(anchor), pa.array(content, pa.int64()), pa.array(start), pa.array(size),
+                    batch.column(0).take(of), batch.column(1).take(of), pa.array(anchor), pa.array(content, pa.binary()), pa.array(start), pa.array(size),
                     pa.array([b if k else None for b, k in zip(out, carry.tolist())], pa.binary()),
                 ],
-                names=["doc_id", "anchor", "content", "start", "n", "bytes"],
+                names=["doc_id", "cls", "anchor", "content", "start", "n", "bytes"],
             )
 
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, schema)
+    return docs.select("doc_id", "cls", "text", "shared").mapInArrow(run, schema)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, starts, ends) -> what is left."""
+    """docs(doc_id, cls, text, starts, ends) -> what is left."""
 
     def make(texts: list, starts: list, ends: list) -> list[list]:
         rows = []
@@ -258,7 +314,7 @@ def _cut(docs: DataFrame) -> DataFrame:
         removed, n, digest, spans = list(zip(*rows)) or [[], [], [], []]
         return [removed, n, digest, _lists(list(spans))]
 
-    return map_columns(docs, ["doc_id"], ["text", "starts", "ends"], lambda: make, {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<long>"})
+    return map_columns(docs, ["doc_id", "cls"], ["text", "starts", "ends"], lambda: make, {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<long>"})
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
@@ -275,34 +331,34 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM)
         return make
 
     able = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).withColumn("cls", F.xxhash64(raw))
-    numbers = map_columns(able, ["cls"], ["text"], start, {"anchors": "array<long>"}).select(F.explode("anchors").alias("anchor"), "cls")
-    shared = _shared(numbers).groupBy("cls").agg(F.collect_set("anchor").alias("shared"))
+    numbers = lambda texts: map_columns(texts, ["cls"], ["text"], start, {"anchors": "array<long>"}).select("cls", F.explode("anchors").alias("anchor"))
+    every = max(1, firsts.count() // HOT_SAMPLE)
+    common = _common(numbers(able.where(F.pmod("cls", F.lit(every)) == 0).dropDuplicates(["cls"])))
+    known = F.broadcast(docs.sparkSession.createDataFrame([(int(a),) for a in common.view(np.int64)], "common long"))
+    dealt = numbers(able).join(known, F.col("anchor") == F.col("common"), "left").select("anchor", "cls", F.when(F.col("common").isNotNull(), F.pmod("cls", F.lit(SALTS)) + 1).otherwise(0).cast("int").alias("salt"))
+    shared = _shared(dealt).groupBy("cls").agg(F.collect_set("anchor").alias("shared"))
     shared = materialize(shared.join(firsts.select("cls", F.col("first_id").alias("doc_id")), "cls"), "shared")
-    sweep(docs.sparkSession)
     touched = materialize(shared.select("doc_id").distinct(), "touched")
-    texts = able.join(small_or_shuffled(touched), "doc_id", "left_semi").join(shared.select("doc_id", "cls", "shared"), ["doc_id", "cls"]).select("doc_id", "text", "shared")
-    rows = materialize(_stretches(texts, length, kgram), "stretches")
-    sweep(docs.sparkSession)
+    texts = able.join(small_or_shuffled(touched), "doc_id", "left_semi").join(shared.select("doc_id", "cls", "shared"), ["doc_id", "cls"])
+    rows = materialize(_stretches(texts, length, kgram, common), "stretches")
     # One shuffle by anchor serves the contents' first documents and the index.
     content = rows.where("bytes is not null").select("anchor", "content", "doc_id", "bytes").repartition(4 * parts(docs.sparkSession), "anchor")
     content = content.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc"), F.min_by("bytes", "doc_id").alias("bytes")).sortWithinPartitions("first_doc")
     doc_kind = dict(rows.dtypes)["doc_id"]
-    cover = materialize(content.mapInArrow(_covered(length), f"anchor long, content long, first_doc {doc_kind}, spans array<long>"), "cover")
-    sweep(docs.sparkSession)
-    at = rows.select("doc_id", "anchor", "content", "start", "n").join(cover, ["anchor", "content"])
+    cover = materialize(content.mapInArrow(_covered(length), f"anchor long, content binary, first_doc {doc_kind}, spans array<long>"), "cover")
+    at = rows.select("doc_id", "cls", "anchor", "content", "start", "n").join(cover, ["anchor", "content"])
     whole = F.array(F.lit(0).cast("long"), F.col("n").cast("long"))
-    spans = at.select("doc_id", "start", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("spans")).alias("spans")).where(F.size("spans") > 0)
+    spans = at.select("doc_id", "cls", "start", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("spans")).alias("spans")).where(F.size("spans") > 0)
     even = lambda odd: F.filter(F.transform("spans", lambda x, i: F.when(i % 2 == odd, x + F.col("start"))), lambda x: x.isNotNull())
-    spans = spans.select("doc_id", even(0).alias("s"), even(1).alias("e")).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
+    spans = spans.select("doc_id", "cls", even(0).alias("s"), even(1).alias("e")).groupBy("doc_id", "cls").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
     spans = materialize(spans, "spans")
     release(rows)
     release(cover)
-    sweep(docs.sparkSession)
-    cut = _cut(plain.join(small_or_shuffled(spans.select("doc_id")), "doc_id", "left_semi").join(spans, "doc_id"))
-    cut = materialize(cut.withColumn("cut_id", F.col("doc_id")).drop("doc_id").dropDuplicates(["cut_id"]), "cut")
+    cut = _cut(able.join(small_or_shuffled(spans.select("doc_id")), "doc_id", "left_semi").join(spans, ["doc_id", "cls"]))
+    cut = materialize(cut.select(F.col("doc_id").alias("cut_id"), F.col("cls").alias("cut_cls"), "n_removed", "n_spans", "kept_sha256", "spans").dropDuplicates(["cut_id", "cut_cls"]), "cut")
     done = info.join(firsts.select("sha", "first_id"), "sha", "left")
     copy = (F.col("n_bytes") >= length) & (F.col("doc_id") > F.col("first_id"))
-    done = done.join(cut, (F.col("doc_id") == F.col("cut_id")) & F.col("first_id").isNotNull(), "left")
+    done = done.join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("cls") == F.col("cut_cls")) & F.col("first_id").isNotNull(), "left")
     empty = hashlib.sha256(b"").hexdigest()
     out = materialize(
         done.select(

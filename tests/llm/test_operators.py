@@ -54,8 +54,10 @@ def test_ngram_join_is_brute_force(spark):
 def test_ngram_join_in_many_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in ngram_join.jaccard_components(frame(spark)).collect()}
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 4)
-    monkeypatch.setattr(ngram_join, "FRAGMENT", 64)
-    assert {tuple(r) for r in ngram_join.jaccard_components(frame(spark)).collect()} == whole
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
+    for fragments in (1, 7):
+        monkeypatch.setattr(ngram_join, "FRAGMENTS", fragments)
+        assert {tuple(r) for r in ngram_join.jaccard_components(frame(spark)).collect()} == whole
 
 
 def test_ngram_join_edges(spark):
@@ -65,6 +67,11 @@ def test_ngram_join_edges(spark):
     assert got == [(-1, None), (3, 3), (3, 3), (4, 4), (9, 3)]
     kept = ngram_join.keep_one(frame(spark, rows))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4] and kept.columns == frame(spark).columns
+    # One id with different texts: each is judged by itself, and none is lost.
+    rows = [(5, "q w e r t y"), (5, "a b c d e f"), (5, "a b c d e f"), (6, "a b c d e f"), (7, "q w e r t y"), (5, ""), (5, None), (8, "z")]
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert kept == [(5, ""), (5, "a b c d e f"), (5, "q w e r t y"), (8, "z")]
+    assert {(r.doc_id, r.n_links) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()} == {(5, 1), (5, 2), (5, 0), (6, 2), (7, 1), (8, 0)}
 
 
 def test_components(spark):
@@ -247,6 +254,12 @@ def test_vectors_are_brute_force(spark, monkeypatch):
     assert embed_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_at_the_ends_of_the_double_range(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.01e200], 1), (3, [1e-200, 1e-200], 1), (4, [5e-324, 5e-324], 1), (5, [1e200, -1e200], 1), (6, [0.0, 0.0], 1)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 
@@ -332,8 +345,9 @@ def test_passages_are_brute_force(spark, monkeypatch):
     for i in range(60):
         rows.append((500 + i, "".join(r.choice([*shared, "é🙂", "a" * r.randrange(70), f" {r.random()} "]) for _ in range(6))))
     want = plain_passages(rows)
-    for batch in (5000, 7):
-        monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", batch)
+    for batch, hot, most in ((400_000, 16, 4096), (300, 2, 40)):
+        for name, value in (("BATCH_STRINGS", batch), ("HOT_TEXTS", hot), ("MOST_STRINGS", most)):
+            monkeypatch.setattr(suffix_dedup, name, value)
         got = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
         assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == want
     assert sum(v[1] for v in want.values()) > 10_000
@@ -342,10 +356,26 @@ def test_passages_are_brute_force(spark, monkeypatch):
     assert sorted((x.doc_id or -1, x.n_removed) for x in odd) == [(-1, 0), (5, 0), (5, 0), (6, 80)]
 
 
+def test_passages_of_one_id_with_different_texts(spark):
+    r = random.Random(20)
+    letters = lambda n: "".join(chr(r.randrange(97, 123)) for _ in range(n))
+    passage, tail, other = letters(100), letters(80), letters(60)
+    rows = [(1, passage), (5, passage + tail), (5, other), (5, passage + tail)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in suffix_dedup.repeated_passages(frame(spark, rows)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 100, 0, sha(passage)), (5, 60, 0, sha(other)), (5, 180, 100, sha(tail)), (5, 180, 100, sha(tail))])
+
+
+def test_strings_with_zero_bytes_are_told_apart():
+    raw = b"ab" + b"\0" * 6
+    s = suffix_dedup.strings_at(raw, np.arange(5), 4)
+    assert [a == b for a, b in zip(s[:-1], s[1:])] == [raw[i : i + 4] == raw[i + 1 : i + 5] for i in range(4)]
+
+
 def test_family_levels_double():
     family, r = suffix_dedup.Family(), np.random.default_rng(1)
     for i in range(40):
-        p = np.unique(r.integers(0, 1 << 40, 100).astype(np.uint64))
+        p = np.unique(r.integers(0, 256, (100, 50)).astype(np.uint8).view("S50").ravel())
         family.add(p, np.full(p.size, i))
     sizes = [level[0].size for level in family.levels]
     assert sum(sizes) > 3900 and all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) < 8
