@@ -13,8 +13,8 @@ its own, and a pair's overlap is the sum over the fragments. Around that:
    class needs 80 % of its n-grams elsewhere. In the order by document frequency,
    two linked classes share one of their first n - ceil(0.8 n) + 1 n-grams (the
    deciding ones), so classes that share none of these are never compared. Classes
-   are put into blocks of bounded size by the least class that they share a deciding
-   n-gram with, and only pairs of blocks that have a deciding n-gram in common are
+   are put into blocks of bounded size by the least class within some steps of shared
+   deciding n-grams, and only pairs of blocks that have a deciding n-gram in common are
    candidates.
 4. A fragment's task gets the fragment's part of two blocks and counts the partial
    overlaps of their classes. Pairs that lack more within the fragment than 80 %
@@ -56,6 +56,8 @@ BLOCK_CLASSES = 512
 BLOCK_NGRAMS = 1_000_000
 #: Parts of the global order; each is counted by tasks of its own.
 FRAGMENTS = 4
+#: Steps from class to class by which blocks gather around a centre.
+CENTRE_STEPS = 2
 #: N-grams that a matrix of 0 and 1 holds at one time.
 COLUMNS = 4096
 CACHED_WORDS = 150_000
@@ -173,7 +175,11 @@ def _candidates(ordered: DataFrame, similar: tuple[int, int]) -> tuple[DataFrame
     heads = materialize(heads, "heads")
     first = heads.groupBy("gram").agg(F.min("cls").alias("least"), F.count("*").alias("df")).where("df > 1").select("gram", "least")
     near = materialize(heads.join(first, "gram"), "near")
+    # The least class within some steps: a group of near copies comes to one centre and few blocks, a chain of groups does not become one.
     centre = near.groupBy("cls").agg(F.min("least").alias("centre"))
+    for _ in range(CENTRE_STEPS):
+        of_gram = near.select("cls", "gram").join(centre, "cls").groupBy("gram").agg(F.min("centre").alias("centre"))
+        centre = materialize(near.select("cls", "gram").join(of_gram, "gram").groupBy("cls").agg(F.min("centre").alias("centre")), "centre")
     sized = ordered.select("cls", F.size("grams").alias("grams")).join(centre, "cls")
     many = sized.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("grams") / BLOCK_NGRAMS)).alias("parts"))
     # Two blocks with one number would be one larger block: no harm.
