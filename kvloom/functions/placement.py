@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _M32 = np.uint64(0xFFFFFFFF)
+#: Keys up to this length are hashed as one array.
+SHORT = 256
+#: Fixed value: seed of the second half of a 64-bit key.
+SECOND_SEED = 0x9747B28C
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -14,9 +18,22 @@ def _rotl(x: np.ndarray, r: int) -> np.ndarray:
 
 
 def murmur3(rows: list[bytes], seed: np.ndarray | int = 0) -> np.ndarray:
-    """MurmurHash3 x86-32 of each byte string; seed: one number, or one for each."""
+    """MurmurHash3 x86-32 of each byte string; seed: one number, or one for each. Strings are padded to like-sized ones only."""
     n = len(rows)
     size = np.array([len(r) for r in rows], np.int64)
+    if size.max(initial=0) > SHORT:
+        # Lengths of one power of two together: padding at most doubles what there is.
+        out, scale = np.zeros(n, np.uint64), np.frexp(np.maximum(size, SHORT))[1]
+        seeds = np.broadcast_to(np.asarray(seed, np.uint64), (n,))
+        for k in np.unique(scale):
+            at = np.flatnonzero(scale == k)
+            out[at] = _murmur3([rows[i] for i in at], size[at], seeds[at])
+        return out
+    return _murmur3(rows, size, seed)
+
+
+def _murmur3(rows: list[bytes], size: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    n = len(rows)
     width = (int(size.max(initial=0)) + 4) // 4 * 4
     flat = np.zeros((n, width), np.uint8)
     for i, r in enumerate(rows):
@@ -74,7 +91,7 @@ def jump_col(buckets: int):
     @F.pandas_udf("int")
     def placed(texts: pd.Series) -> pd.Series:
         rows = _bytes(texts)
-        key = (murmur3(rows, 0) << np.uint64(32)) | murmur3(rows, 1)
+        key = (murmur3(rows, 0) << np.uint64(32)) | murmur3(rows, SECOND_SEED)
         return pd.Series(jump(key, buckets).astype(np.int32), index=texts.index)
 
     return placed

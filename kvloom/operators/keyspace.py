@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.keys import SEPARATORS, _quoted, key_pattern
 
 STRONG, WEAK, LEAD = 0.3, 0.6, 0.15
+#: Parts of a pattern's keys in which examples are looked for side by side.
+SLICES = 64
 
 
 def patterns(keys: DataFrame, separator: str = ":") -> DataFrame:
@@ -19,11 +21,14 @@ def prefix_tree(keys: DataFrame, separator: str = ":", examples: int = 3) -> Dat
     Keys are counted by whole pattern first, so each level is a rollup of patterns
     and not of keys. Examples are the first keys by index.
     """
-    ranked = keys.withColumn("pattern", key_pattern(F.col("key"), separator)).withColumn("rank", F.row_number().over(Window.partitionBy("pattern").orderBy("key_idx")))
-    whole = ranked.groupBy("pattern").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("b"),
-        F.sort_array(F.collect_list(F.when(F.col("rank") <= examples, F.struct("key_idx", "key")))).alias("e"),
-    )
+    named = keys.withColumn("pattern", key_pattern(F.col("key"), separator))
+    whole = named.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("b"))
+    # First keys within slices of a pattern, then among those: a pattern with a third of all keys is many windows.
+    slice_ = F.pmod(F.xxhash64("key_idx"), F.lit(SLICES))
+    first = F.row_number().over(Window.partitionBy("pattern", "slice").orderBy("key_idx", "key"))
+    few = named.select("pattern", "key_idx", "key", slice_.alias("slice")).withColumn("rank", first).where(F.col("rank") <= examples)
+    shown = few.groupBy("pattern").agg(F.slice(F.sort_array(F.collect_list(F.struct("key_idx", "key"))), 1, examples).alias("e"))
+    whole = whole.join(shown, "pattern")
     segments = F.split("pattern", _quoted(separator))
     nodes = whole.withColumn("segments", segments).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("segments"))))
     nodes = nodes.withColumn("path", F.array_join(F.slice("segments", 1, F.col("depth")), separator)).withColumn("end", F.col("depth") == F.size("segments"))
@@ -47,11 +52,13 @@ def separator_shares(keys: DataFrame) -> DataFrame:
 def naming_findings(keys: DataFrame, separator: str = ":", long_bytes: int = 256) -> DataFrame:
     """finding, n: keys without the separator, with another one, empty segments, long or unclean keys, and prefixes that differ in case only."""
     key = F.col("key")
-    others = [s for s in (":", "/", "|") if s != separator]
+    others = [s for s in (":", "/", "|", "#") if s != separator]
+    first = F.substring_index(key, separator, 1)
+    split = F.split(key, _quoted(separator))
     tests = {
         "no_separator": ~F.contains(key, F.lit(separator)),
-        "other_separator": ~F.contains(key, F.lit(separator)) & F.greatest(*[F.contains(key, F.lit(s)) for s in others]),
-        "empty_segment": F.contains(key, F.lit(separator * 2)),
+        "other_separator": F.greatest(*[F.contains(first, F.lit(s)) for s in others]),
+        "empty_segment": (F.size(split) > 1) & F.array_contains(split, ""),
         "long": F.octet_length(key) > long_bytes,
         "unclean": F.regexp_like(key, F.lit(r"[\x00-\x20\x7F]")),
     }
@@ -62,13 +69,19 @@ def naming_findings(keys: DataFrame, separator: str = ":", long_bytes: int = 256
 
 
 def near_names(names: DataFrame, most: int = 3000) -> DataFrame:
-    """names(name, keys) -> pairs of the most common names one edit, or one swap of neighbouring characters, apart. At most ``most`` names meet, by lengths that differ by one at most."""
-    top = names.orderBy(F.desc("keys"), "name").limit(most).withColumn("size", F.length("name"))
+    """names(name, keys) -> pairs of the most common names one edit, or one swap of neighbouring characters, apart.
+
+    Names have three characters at least and no class, and a pair differs in more
+    than case. At most ``most`` names meet, by lengths that differ by one at most.
+    """
+    able = names.where((F.length("name") >= 3) & ~F.contains("name", F.lit("<")))
+    top = able.orderBy(F.desc("keys"), "name").limit(most).withColumn("size", F.length("name"))
     swapped = F.expr("exists(sequence(1, greatest(length(a.name) - 1, 1)), i -> concat(left(a.name, i - 1), substr(a.name, i + 1, 1), substr(a.name, i, 1), substr(a.name, i + 2)) = b.name)")
     a, b = top.alias("a"), top.select("name", "keys", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).alias("b")
     return (
         a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.name") < F.col("b.name")))
         .where((F.levenshtein("a.name", "b.name", 1) == 1) | (F.levenshtein("a.name", "b.name", 2) == 2) & (F.length("a.name") == F.length("b.name")) & swapped)
+        .where(F.lower("a.name") != F.lower("b.name"))
         .select(F.col("a.name").alias("name"), F.col("b.name").alias("near"))
     )
 
@@ -97,9 +110,9 @@ def fold_busy_levels(patterns_: DataFrame, separator: str = ":", many: int = 50,
 
 def top_patterns(patterns_: DataFrame, n: int = 50) -> DataFrame:
     """The n most common patterns, and one row (more) for the rest."""
-    ranked = patterns_.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("keys"), "pattern")))
-    name = F.when(F.col("rank") <= n, F.col("pattern")).otherwise("(more)")
-    return ranked.groupBy(name.alias("pattern")).agg(F.sum("keys").cast("long").alias("keys"), F.count("*").alias("patterns"))
+    top = patterns_.orderBy(F.desc("keys"), "pattern").limit(n).select("pattern", F.col("keys").cast("long").alias("keys"), F.lit(1).cast("long").alias("patterns"))
+    rest = patterns_.join(F.broadcast(top.select("pattern")), "pattern", "left_anti").agg(F.sum("keys").cast("long").alias("keys"), F.count("*").alias("patterns"))
+    return top.union(rest.where("patterns > 0").select(F.lit("(more)").alias("pattern"), "keys", "patterns"))
 
 
 def browse(keys: DataFrame, prefix: str = "", within: str = "", by: str = "key", offset: int = 0, limit: int = 50) -> DataFrame:

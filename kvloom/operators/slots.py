@@ -10,13 +10,11 @@ from ..functions.keys import SLOTS, hash_tag, is_tagged, key_slot
 
 def even_split(nodes: int) -> list[tuple[int, int, int]]:
     """(node, first slot, last slot) of an even layout, with the single-precision rounding that servers use."""
-    per, cursor, out = np.float32(SLOTS / nodes), np.float32(0), []
-    first = 0
-    for node in range(nodes):
-        last = SLOTS - 1 if node == nodes - 1 else max(first, int(np.floor(np.float32(np.float32(cursor + per) - np.float32(1)) + np.float32(0.5))))
-        out.append((node + 1, first, last))
-        first, cursor = last + 1, np.float32(cursor + per)
-    return out
+    ends = np.cumsum(np.full(nodes, SLOTS / nodes, np.float32), dtype=np.float32) - np.float32(1)
+    lasts = np.floor(ends + np.float32(0.5)).astype(int)
+    lasts[-1] = SLOTS - 1
+    firsts = np.concatenate([[0], lasts[:-1] + 1])
+    return [(k + 1, int(a), int(b)) for k, (a, b) in enumerate(zip(firsts, np.maximum(firsts, lasts)))]
 
 
 def layout(spark: SparkSession, nodes: int) -> DataFrame:

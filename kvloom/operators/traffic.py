@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import client_host, key_pattern, key_slot
+from ..session import cut
 
+#: Command families, options that set a time to live, steps of a series in seconds (the first with fewer than MOST_BUCKETS is used).
 DELETES = ("DEL", "UNLINK", "GETDEL")
 EXPIRES = ("EXPIRE", "PEXPIRE", "EXPIREAT", "PEXPIREAT")
-#: Seconds of a bucket; the first that gives fewer than MOST_BUCKETS is used.
+TTL_OPTIONS = ("EX", "PX", "EXAT", "PXAT", "KEEPTTL")
 LADDER = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 21600, 43200, 86400)
 MOST_BUCKETS = 1500
 
@@ -77,10 +81,20 @@ def peak_second(commands: DataFrame) -> DataFrame:
 
 
 def set_then_expire(commands: DataFrame) -> DataFrame:
-    """client, n: SETs whose next command on the same connection expires the same key; one could have done both."""
+    """client, n: SETs whose next command on the same connection expires the same key; one could have done both.
+
+    A SET with an option for its time to live does not count, nor one inside MULTI;
+    SETNX does. Calls from scripts ("lua") and connections by Unix socket have no
+    connection of their own. commands(client, line_no, db, command, key), args (array) if there.
+    """
     line = Window.partitionBy("client").orderBy("line_no")
-    rows = commands.withColumn("before", F.lag("command").over(line)).withColumn("key_before", F.lag("key").over(line))
-    return rows.where((F.col("before") == "SET") & F.col("command").isin(*EXPIRES) & (F.col("key") == F.col("key_before"))).groupBy("client").agg(F.count("*").alias("n"))
+    own = (F.col("client") != "lua") & ~F.startswith("client", F.lit("unix:"))
+    options = F.slice("args", 4, 1 << 30) if "args" in commands.columns else F.array().cast("array<string>")
+    timed = (F.col("command") == "SET") & F.exists(options, lambda x: F.upper(x).isin(*TTL_OPTIONS))
+    sets = F.col("command").isin("SET", "SETNX") & ~timed & ~F.col("in_multi")
+    rows = in_transaction(commands.where(own)).withColumn("sets", sets)
+    rows = rows.withColumn("set_before", F.lag("sets").over(line)).withColumn("same_key", (F.col("key") == F.lag("key").over(line)) & (F.col("db") == F.lag("db").over(line)))
+    return rows.where(F.col("set_before") & F.col("command").isin(*EXPIRES) & F.col("same_key")).groupBy("client").agg(F.count("*").alias("n"))
 
 
 def in_transaction(commands: DataFrame) -> DataFrame:
@@ -90,10 +104,21 @@ def in_transaction(commands: DataFrame) -> DataFrame:
     return commands.withColumn("in_multi", F.coalesce(F.last(change, ignorenulls=True).over(line), F.lit(False)))
 
 
-def last_script_client(commands: DataFrame, capture: str = "db") -> DataFrame:
-    """commands with caller: the client of the last script call before them in their capture (order decides, so a capture is one window)."""
-    line = Window.partitionBy(capture).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return commands.withColumn("caller", F.last(F.when(F.col("kind") == "script", F.col("client")), ignorenulls=True).over(line))
+def last_script_client(commands: DataFrame, capture: str = "db", lines: int = 100_000) -> DataFrame:
+    """commands with caller: the client of the last script call before them in their capture.
+
+    Chunks of ``lines`` line numbers are windows of their own; what a chunk starts
+    with is carried over from the chunks' last calls, a row each.
+    """
+    chunk = F.floor(F.col("line_no") / lines)
+    script = F.when(F.col("kind") == "script", F.col("client"))
+    rows = commands.withColumn("_chunk", chunk)
+    ends = rows.groupBy(capture, "_chunk").agg(F.max_by("client", F.when(F.col("kind") == "script", F.col("line_no"))).alias("_last"))
+    carry = Window.partitionBy(capture).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(capture, "_chunk", F.last("_last", ignorenulls=True).over(carry).alias("_carried"))
+    line = Window.partitionBy(capture, "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumn("caller", F.last(script, ignorenulls=True).over(line))
+    return inside.join(ends, [capture, "_chunk"]).withColumn("caller", F.coalesce("caller", "_carried")).drop("_chunk", "_carried").select(*commands.columns, "caller")
 
 
 def findings(accesses: DataFrame, share: float = 0.10, least: int = 100) -> DataFrame:
@@ -104,38 +129,124 @@ def findings(accesses: DataFrame, share: float = 0.10, least: int = 100) -> Data
     return rows.join(F.broadcast(everything)).where((F.col("total") >= least) & (F.col("total") >= share * F.col("everything"))).select("db", "key", "total")
 
 
+#: Commands that read a whole collection, and those that set a connection up.
+WHOLE = ("SMEMBERS", "HGETALL", "HKEYS", "HVALS", "SUNION", "SINTER", "SDIFF")
+SETUP = ("AUTH", "HELLO", "SELECT", "CLIENT SETNAME", "CLIENT SETINFO")
+#: Level of each finding; those of one count are listed in this order.
+LEVELS = {"keys": "warn", "flush": "warn", "whole": "info", "hot-key": "warn", "set-expire": "info", "eval": "info", "setup": "info", "databases": "info", "unknown": "info"}
+
+
+def traffic_findings(commands: DataFrame) -> DataFrame:
+    """finding, level, n of what is worth a second look, most frequent first. commands as from with_kind.
+
+    One aggregation over the commands; hot keys and SET followed by EXPIRE are
+    aggregates of their own. Large values and keys across slots need the arguments
+    and are not here.
+    """
+    name = F.col("command")
+    tests = {
+        "keys": name == "KEYS", "flush": name.isin("FLUSHALL", "FLUSHDB"), "whole": name.isin(*WHOLE),
+        "eval": name.isin("EVAL", "EVAL_RO"), "setup": name.isin(*SETUP), "databases": (F.col("db") != 0) & (name != "SELECT"), "unknown": F.col("unknown"),
+    }
+    scripts = F.count_if((F.col("kind") == "script") & name.rlike("^(EVAL|FCALL)"))
+    sums = commands.agg(*[F.count_if(t).alias(n) for n, t in tests.items()], scripts.alias("_scripts"), F.count("*").alias("_all"))
+    told = {n: F.col(n) > 0 for n in tests}
+    told["eval"] = (F.col("eval") >= 10) & (2 * F.col("eval") > F.col("_scripts"))
+    told["setup"] = (F.col("setup") >= 20) & (10 * F.col("setup") >= F.col("_all"))
+    one = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("finding"), told[n].alias("told"), F.col(n).alias("n")) for n in tests])).alias("x")).where("x.told").select("x.finding", "x.n")
+    total = F.col("reads") + F.col("writes") + F.col("deletes")
+    hot = key_accesses(commands).agg(F.max(total).alias("n"), F.sum(total).alias("everything")).where("everything >= 100 and 10 * n >= everything").select(F.lit("hot-key").alias("finding"), "n")
+    expire = set_then_expire(commands).agg(F.sum("n").alias("n")).where("n > 0").select(F.lit("set-expire").alias("finding"), "n")
+    level = F.create_map(*[F.lit(x) for p in LEVELS.items() for x in p])
+    place = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("finding"))
+    return one.union(hot).union(expire).orderBy(F.desc("n"), place).select("finding", level[F.col("finding")].alias("level"), "n")
+
+
+#: Accesses of a chunk of the time axis, and chunks at most: longer captures get longer chunks.
+CHUNK, MOST_CHUNKS = 1 << 16, 2048
+
+
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each value, how many before it are smaller. Ranks are split bit by bit, all at once."""
+    n = values.size
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((-np.arange(n), values))] = np.arange(n)
+    out, order = np.zeros(n, np.int64), np.arange(n)
+    for k in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        own = rank[order]
+        bit, group = (own >> k) & 1, own >> (k + 1)
+        zeros = np.cumsum(1 - bit)
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        before = np.repeat(zeros[starts] - (1 - bit[starts]), np.diff(np.append(starts, n)))
+        out[order] += np.where(bit == 1, zeros - before, 0)
+        order = order[np.argsort(own >> k, kind="stable")]
+    return out
+
+
+def _neighbours(accesses: DataFrame) -> DataFrame:
+    """capture, t, key, chunk, prev, next (of the same key). A key's uses are ordered within chunks; its chunks, a row each, tell the rest."""
+    inside = Window.partitionBy("capture", "key", "chunk").orderBy("t")
+    rows = accesses.withColumn("prev", F.lag("t").over(inside)).withColumn("next", F.lead("t").over(inside))
+    chunks = accesses.groupBy("capture", "key", "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    along = Window.partitionBy("capture", "key").orderBy("chunk")
+    chunks = chunks.select("capture", "key", "chunk", F.lag("last").over(along).alias("came"), F.lead("first").over(along).alias("comes"))
+    rows = rows.join(chunks, ["capture", "key", "chunk"])
+    return rows.select("capture", "t", "key", "chunk", F.coalesce("prev", "came").alias("prev"), F.coalesce("next", "comes").alias("next"))
+
+
 def stack_distances(accesses: DataFrame) -> DataFrame:
-    """accesses(capture, t, key), t = 0, 1, ... -> capture, t, distance: distinct other keys used since the last use (null: first use).
-
-    distance = |{j < t: next(j) > t}| - |{j <= p: next(j) > t}| with p the last use,
-    that is the keys known at t less those not used since p. The second count is
-    taken over the binary blocks that make up 0 ... p: a window ranks a block's
-    next uses, so a block is sorted once and no pair of accesses is ever formed.
-    The largest blocks are split by nothing else, which bounds a capture to what
-    one window can sort (it may spill).
+    """accesses(capture, t, key), t in order -> capture, t, key, distance: distinct other keys used since the last use (null: first use).
+
+    distance = keys known at t - 1 - |{j < p: next(j) > t}| with p the last use. The
+    time axis is cut into chunks, and the j are told apart by theirs: those of p's
+    chunk are counted in a task for that chunk (next uses larger than p's own), those
+    of earlier chunks whose next use is in t's chunk in a task for that one, and the
+    rest from a table of counts by pairs of chunks, of at most MOST_CHUNKS squared
+    rows. A task holds one chunk, so no task sees a capture, and no pair of accesses
+    is ever formed.
     """
-    by_key = Window.partitionBy("capture", "key").orderBy("t")
-    far = F.lit(1 << 60)
-    a = accesses.withColumn("prev", F.lag("t").over(by_key)).withColumn("next", F.coalesce(F.lead("t").over(by_key), far))
-    order = Window.partitionBy("capture").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    a = a.withColumn("known", F.coalesce(F.sum(F.when(F.col("prev").isNull(), 1).otherwise(0)).over(order), F.lit(0)))
-    levels = F.sequence(F.lit(0), F.lit(40))
-    top = a.groupBy("capture").agg(F.max("t").alias("top"))
-    used = F.filter(levels, lambda k: F.pow(F.lit(2.0), k) <= F.col("top") + 1)
-    points = a.join(top, "capture").select("capture", "t", "next", F.explode(used).alias("level"))
-    points = points.select("capture", "level", F.expr("shiftright(t, level)").alias("block"), F.col("next").alias("v"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("t"))
-    q = a.where("prev is not null").withColumn("upto", F.col("prev") + 1)
-    bits = F.expr("filter(sequence(0, 40), k -> shiftright(upto, k) % 2 = 1)")
-    asks = q.select("capture", "t", "upto", F.explode(bits).alias("level")).select(
-        "capture", "level", (F.expr("shiftright(upto, level)") - 1).alias("block"), F.col("t").alias("v"), F.lit(1).alias("ask"), "t"
-    )
-    above = Window.partitionBy("capture", "level", "block").orderBy(F.desc("v"), "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = points.union(asks).withColumn("later", F.sum(F.when(F.col("ask") == 0, 1).otherwise(0)).over(above))
-    # A point with next = t is the access itself, not a later one.
-    own = Window.partitionBy("capture", "level", "block", "v")
-    ranked = ranked.withColumn("same", F.sum(F.when(F.col("ask") == 0, 1).otherwise(0)).over(own)).where("ask = 1")
-    old = ranked.groupBy("capture", "t").agg(F.sum(F.col("later") - F.col("same")).alias("old"))
-    return a.join(old, ["capture", "t"], "left").select("capture", "t", "key", F.when(F.col("prev").isNotNull(), F.col("known") - 1 - F.coalesce("old", F.lit(0))).alias("distance"))
+    longest = accesses.groupBy("capture").agg((F.max("t") - F.min("t") + 1).alias("n")).agg(F.max("n")).first()[0] or 1
+    size = max(CHUNK, -(-longest // MOST_CHUNKS))
+    a = cut(_neighbours(accesses.withColumn("chunk", F.floor(F.col("t") / size))))
+
+    def of_time(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Uses before t in the chunk that were first ones; later uses in it whose last use is in an earlier chunk than t's last one."""
+        pdf = pdf.sort_values("t", ignore_index=True)
+        fresh = pdf["prev"].isna().to_numpy()
+        again = np.flatnonzero(~fresh)
+        since = np.floor_divide(pdf["prev"].to_numpy()[again].astype(np.int64), size)
+        counted = np.zeros(len(pdf), np.int64)
+        counted[again[::-1]] = smaller_before(since[::-1])
+        return pd.DataFrame({"capture": pdf["capture"], "t": pdf["t"], "key": pdf["key"], "prev": pdf["prev"].astype("Int64"), "fresh": np.cumsum(fresh) - fresh, "later": counted})
+
+    def of_last_use(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each use with a next one: earlier uses of the chunk whose next one is later or never."""
+        pdf = pdf.sort_values("t", ignore_index=True)
+        following = pdf["next"].fillna(np.inf).to_numpy(np.float64)
+        counted = smaller_before(-following)
+        on = np.isfinite(following)
+        return pd.DataFrame({"capture": pdf["capture"][on], "t": following[on].astype(np.int64), "near": counted[on]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema}
+    first = a.groupBy("capture", "chunk").applyInPandas(of_time, f"capture {kinds['capture']}, t long, key {kinds['key']}, prev long, fresh long, later long")
+    second = a.groupBy("capture", "chunk").applyInPandas(of_last_use, f"capture {kinds['capture']}, t long, near long")
+    last_chunk = F.floor(F.col("prev") / size)
+    # By pairs of chunks (i of a use, j of its next one): uses before chunk i whose next one is after chunk j.
+    so_far = Window.partitionBy("capture").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = a.groupBy("capture", "chunk").agg(F.count("*").alias("n"), F.count_if(F.col("prev").isNull()).alias("new"))
+    chunks = cut(chunks.select("capture", "chunk", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("uses"), F.coalesce(F.sum("new").over(so_far), F.lit(0)).alias("known")))
+    counts = a.where("prev is not null").groupBy("capture", last_chunk.alias("i"), F.col("chunk").alias("j")).agg(F.count("*").alias("n"))
+    bounds = chunks.groupBy("capture").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    cells = chunks.select("capture", F.col("chunk").alias("i")).join(bounds, "capture").select("capture", "i", F.explode(F.sequence("i", "high")).alias("j"))
+    up_to = Window.partitionBy("capture", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = Window.partitionBy("capture", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    grid = cells.join(counts, ["capture", "i", "j"], "left").withColumn("ended", F.sum(F.coalesce("n", F.lit(0))).over(up_to))
+    grid = grid.select("capture", "i", "j", F.coalesce(F.sum("ended").over(below), F.lit(0)).alias("ended"))
+    grid = grid.join(chunks.select("capture", F.col("chunk").alias("i"), "uses"), ["capture", "i"]).select("capture", "i", "j", (F.col("uses") - F.col("ended")).alias("open"))
+    rows = first.withColumn("i", last_chunk).withColumn("j", F.floor(F.col("t") / size)).join(second, ["capture", "t"], "left").join(grid, ["capture", "i", "j"], "left")
+    rows = rows.join(chunks.select("capture", F.col("chunk").alias("j"), "known"), ["capture", "j"])
+    old = F.col("open") + F.col("later") + F.col("near")
+    return rows.select("capture", "t", "key", F.when(F.col("prev").isNotNull(), F.col("known") + F.col("fresh") - 1 - old).alias("distance"))
 
 
 def hit_curve(distances: DataFrame) -> DataFrame:

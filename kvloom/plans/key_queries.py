@@ -7,14 +7,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import keys as K
 from ..operators import graph, keyspace, placement, slots
 from ..session import cut
-from . import views
+from . import placement_sql, views
 from .views import EDGES, KEYS, SLOTS
 
 EVEN3 = "nodes(node, lo, hi) AS (VALUES (1, 0, 5460), (2, 5461, 10922), (3, 10923, 16383))"
+def _class(x: str) -> str:
+    """The class of a text in SQL, null for none. RE2 knows no look-ahead, so what a text must contain is asked for by itself."""
+    has = lambda chars: f"regexp_matches({x}, '[{chars}]')"
+    full = lambda pattern: f"regexp_full_match({x}, '{pattern}')"
+    return f"""CASE WHEN {full("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")} THEN '<uuid>' WHEN {full("[0-9]+")} THEN '<id>'
+  WHEN {full("[0-9]{4}-[0-9]{2}(-[0-9]{2}([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?Z?)?)?")} THEN '<date>' WHEN {full("[^@[:space:]]+@[^@[:space:]]+[.][^@[:space:]]+")} THEN '<email>'
+  WHEN {full("[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}")} THEN '<ip>' WHEN {full("[0-9a-fA-F]{12,}")} AND {has("0-9")} AND {has("a-fA-F")} THEN '<hex>'
+  WHEN {full("[A-Za-z0-9_+=/-]{20,}")} AND {has("0-9")} AND {has("A-Za-z")} THEN '<token>' END"""
+
+
+def _folded(x: str) -> str:
+    """A segment's class, in the braces of a hash tag if it has them, else the segment."""
+    return f"CASE WHEN regexp_full_match({x}, '[{{].+[}}]') THEN coalesce('{{' || {_class(x + '[2:-2]')} || '}}', {x}) ELSE coalesce({_class(x)}, {x}) END"
+
+
 #: The segment classes and patterns of keys, in SQL.
 PATTERNS = f"""{KEYS},
 segs AS (SELECT key_idx, key, string_split(key, ':') AS s FROM keys),
-pats AS (SELECT key_idx, key, list_transform(s, lambda x: CASE WHEN regexp_full_match(x, '-?[0-9]+') THEN '<id>' WHEN regexp_full_match(x, '\\{{-?[0-9]+\\}}') THEN '{{<id>}}' ELSE x END) AS p FROM segs)"""
+pats AS (SELECT key_idx, key, list_transform(s, lambda x: {_folded('x')}) AS p FROM segs)"""
+
+#: The even layouts of a server for 4 to 10 nodes.
+EVEN_LAYOUTS = {
+    4: "0-4095 4096-8191 8192-12287 12288-16383",
+    5: "0-3276 3277-6553 6554-9829 9830-13106 13107-16383",
+    6: "0-2730 2731-5460 5461-8191 8192-10922 10923-13652 13653-16383",
+    7: "0-2340 2341-4680 4681-7021 7022-9361 9362-11702 11703-14042 14043-16383",
+    8: "0-2047 2048-4095 4096-6143 6144-8191 8192-10239 10240-12287 12288-14335 14336-16383",
+    9: "0-1819 1820-3640 3641-5460 5461-7281 7282-9101 9102-10922 10923-12742 12743-14563 14564-16383",
+    10: "0-1637 1638-3276 3277-4914 4915-6553 6554-8191 8192-9829 9830-11468 11469-13106 13107-14745 14746-16383",
+}
 
 NODES = ["alpha", "beta", "gamma"]
 
@@ -60,7 +86,7 @@ def fn_14_crossslot(spark, d):
 
 
 def win_09_even_split(spark, d):
-    rows = [(n, *r) for n in (1, 2, 3, 4, 5, 6, 7, 8) for r in slots.even_split(n)]
+    rows = [(n, *r) for n in EVEN_LAYOUTS for r in slots.even_split(n)]
     return spark.createDataFrame(rows, "nodes int, node int, lo int, hi int")
 
 
@@ -86,8 +112,13 @@ def fn_10_key_patterns(spark, d):
 
 
 def fn_09_segment_classes(spark, d):
+    """Segments of the keys, and of each order a date, hash, address and so on."""
     k = views.keys(spark, d)
     parts = k.select(F.explode(F.split("key", ":")).alias("segment"))
+    o = views.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("n"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    uuid = F.concat_ws("-", *[F.substr("h", F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    made = ("day", F.concat("day", F.lit("T10:20Z")), "h", F.concat(F.lit("u"), "n", F.lit("@x.org")), F.concat(F.lit("10.0.0."), F.pmod(F.col("n").cast("long"), F.lit(256)).cast("string")), F.concat(F.lit("-"), "n"), F.concat(F.upper("h"), F.lit("+/=")), uuid, F.concat(F.lit("{"), uuid, F.lit("}")))
+    parts = parts.union(o.select(F.explode(F.array(*made))))
     return parts.groupBy(K.segment_class(F.col("segment")).alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -219,7 +250,10 @@ x AS (SELECT unnest(range(lo, hi + 1)) AS slot, 12.0::DOUBLE / (hi - lo + 1) AS
 SELECT CAST(slot AS INTEGER) AS slot, round(sum(part), 6) AS load FROM x GROUP BY slot""",
     "src_09_key_sizes": f"WITH {SLOTS} SELECT slot, CAST(sum(strlen(key)) AS BIGINT) AS load FROM slots GROUP BY slot",
     "fn_10_key_patterns": f"WITH {PATTERNS} SELECT array_to_string(p, ':') AS pattern, count(*) AS keys, CAST(sum(strlen(key)) AS BIGINT) AS bytes FROM pats GROUP BY 1",
-    "fn_09_segment_classes": f"WITH {PATTERNS} SELECT c AS class, count(*) AS n FROM (SELECT unnest(p) AS c FROM pats) GROUP BY c",
+    "fn_09_segment_classes": f"""WITH {KEYS}, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS n, md5(CAST(o_orderkey AS VARCHAR)) AS h, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+u AS (SELECT *, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS u FROM o),
+x AS (SELECT unnest(string_split(key, ':')) AS x FROM keys UNION ALL SELECT unnest([d, d || 'T10:20Z', h, 'u' || n || '@x.org', '10.0.0.' || CAST(CAST(n AS BIGINT) % 256 AS VARCHAR), '-' || n, upper(h) || '+/=', u, '{{' || u || '}}']) FROM u)
+SELECT {_folded('x')} AS class, count(*) AS n FROM x GROUP BY 1""",
     "agg_02_prefix_tree": f"""WITH {PATTERNS},
 lv AS (SELECT key_idx, key, p, unnest(range(1, len(p) + 1)) AS depth FROM pats),
 nd AS (SELECT array_to_string(p[1:depth], ':') AS path, depth, key_idx, key, depth = len(p) AS e FROM lv)
@@ -227,14 +261,14 @@ SELECT path, CAST(depth AS INTEGER) AS depth, count(*) AS keys, CAST(sum(strlen(
   array_to_string(list_slice(list(key ORDER BY key_idx), 1, 3), ' ') AS examples FROM nd GROUP BY path, depth""",
     "agg_05_naming_findings": f"""WITH {KEYS}, p AS (SELECT DISTINCT split_part(key, ':', 1) AS x FROM keys)
 SELECT 'no_separator' AS finding, count_if(NOT contains(key, ':')) AS n FROM keys
-UNION ALL SELECT 'other_separator', count_if(NOT contains(key, ':') AND (contains(key, '/') OR contains(key, '|'))) FROM keys
-UNION ALL SELECT 'empty_segment', count_if(contains(key, '::')) FROM keys
+UNION ALL SELECT 'other_separator', count_if(regexp_matches(split_part(key, ':', 1), '[/|#]')) FROM keys
+UNION ALL SELECT 'empty_segment', count_if(contains(key, ':') AND list_contains(string_split(key, ':'), '')) FROM keys
 UNION ALL SELECT 'long', count_if(strlen(key) > 256) FROM keys
 UNION ALL SELECT 'unclean', count_if(regexp_matches(key, '[\\x00-\\x20\\x7F]')) FROM keys
 UNION ALL SELECT 'case_collision', count(*) FROM (SELECT lower(x) FROM p GROUP BY lower(x) HAVING count(*) > 1)""",
     "agg_06_separator_vote": f"""WITH {KEYS} SELECT ':' AS separator, {", ".join(f"round(avg(CASE WHEN contains(key, '{s}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_{i}" for i, s in enumerate(K.SEPARATORS))} FROM keys""",
     "joi_16_near_names": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT name FROM n UNION ALL SELECT name || 's' FROM n)
-SELECT x.name AS name, y.name AS near FROM a x JOIN a y ON x.name < y.name WHERE levenshtein(x.name, y.name) = 1""",
+SELECT x.name AS name, y.name AS near FROM a x JOIN a y ON x.name < y.name WHERE damerau_levenshtein(x.name, y.name) = 1 AND least(length(x.name), length(y.name)) >= 3 AND lower(x.name) <> lower(y.name)""",
     "fn_17_graph_keys": f"WITH {GRAPH_KEYS} SELECT key FROM gk",
     "joi_20_prefix_scan": f"WITH {GRAPH_KEYS} SELECT key FROM gk WHERE starts_with(key, 'i/customer:1')",
     "srt_02_key_order": f"WITH {GRAPH_KEYS} SELECT key, CAST(row_number() OVER (PARTITION BY split_part(key, '/', 1), split_part(key, '/', 2) ORDER BY key) AS INTEGER) AS place FROM gk",
@@ -244,5 +278,6 @@ SELECT node, min(hop) AS hop FROM w GROUP BY node""",
     "joi_12_ring_asof": f"""WITH {SLOTS}, pts AS (SELECT s_suppkey * 977 % 16384 AS h, min(s_suppkey) AS owner FROM supplier GROUP BY 1),
 j AS (SELECT slot, p.owner FROM slots s ASOF LEFT JOIN pts p ON s.slot <= p.h)
 SELECT coalesce(owner, (SELECT arg_min(owner, h) FROM pts)) AS owner, count(*) AS keys FROM j GROUP BY 1""",
-    "win_09_even_split": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {a}, {b}, {c})" for n in (1, 2, 3, 4, 5, 6, 7, 8) for a, b, c in slots.even_split(n)) + ") t(nodes, node, lo, hi)",
+    "win_09_even_split": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {k}, {r.replace('-', ', ')})" for n, text in EVEN_LAYOUTS.items() for k, r in enumerate(text.split(), 1)) + ") t(nodes, node, lo, hi)",
+    **placement_sql.ORACLES,
 }

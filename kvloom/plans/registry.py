@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import key_queries, more_queries, store_queries, traffic_queries
+from . import key_queries, more_queries, source_queries, store_queries, traffic_queries
 
-QUERIES: dict = {**key_queries.QUERIES, **traffic_queries.QUERIES, **store_queries.QUERIES, **more_queries.QUERIES}
-ORACLES: dict[str, str] = {**key_queries.ORACLES, **traffic_queries.ORACLES, **store_queries.ORACLES, **more_queries.ORACLES}
+QUERIES: dict = {**key_queries.QUERIES, **traffic_queries.QUERIES, **store_queries.QUERIES, **more_queries.QUERIES, **source_queries.QUERIES}
+ORACLES: dict[str, str] = {**key_queries.ORACLES, **traffic_queries.ORACLES, **store_queries.ORACLES, **more_queries.ORACLES, **source_queries.ORACLES}
 
 
 def _as_bigint(name: str, *columns: str) -> None:

@@ -121,7 +121,7 @@ def snk_03_csv_guard(spark, d):
 
 
 def snk_06_batches(spark, d):
-    b = S.batches(views.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")), buckets=1)
+    b = S.batches(views.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")))
     return b.select("request", F.size("items").alias("n"), F.element_at("items", 1).alias("first"))
 
 

@@ -63,6 +63,10 @@ def agg_12_hot_keys(spark, d):
     return traffic.findings(_accesses(spark, d), share=0.005, least=20)
 
 
+def agg_12_findings(spark, d):
+    return traffic.traffic_findings(_kinds(spark, d))
+
+
 def agg_13_series(spark, d):
     return traffic.series(views.traffic(spark, d))
 
@@ -105,7 +109,7 @@ def str_03_tumbling_seconds(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    joi_02_command_dimension, agg_08_traffic_totals, agg_09_key_accesses, srt_03_busiest_keys, agg_10_pattern_rollup, agg_11_slot_spread, agg_12_hot_keys, agg_13_series,
+    joi_02_command_dimension, agg_08_traffic_totals, agg_09_key_accesses, srt_03_busiest_keys, agg_10_pattern_rollup, agg_11_slot_spread, agg_12_hot_keys, agg_12_findings, agg_13_series,
     agg_14_peak_second, fn_16_hosts, joi_14_set_then_expire, win_03_transactions, joi_15_last_script, win_07_stack_distance, win_07_hit_curve, str_03_tumbling_seconds,
 )}
 
@@ -130,13 +134,19 @@ UNION ALL SELECT 'host', {HOST}, count(*) FROM kinds GROUP BY 2 UNION ALL SELECT
 SELECT CAST(node AS INTEGER) AS node, CAST(sum(reads + writes + deletes) AS BIGINT) AS accesses, count(*) AS keys FROM acc JOIN slots USING (key) JOIN nodes ON slot BETWEEN lo AND hi GROUP BY node""",
     "agg_12_hot_keys": f"""WITH {KIND} SELECT db, key, reads + writes + deletes AS total FROM acc
 WHERE reads + writes + deletes >= 20 AND reads + writes + deletes >= 0.005::DOUBLE * (SELECT sum(reads + writes + deletes) FROM acc)""",
+    "agg_12_findings": f"""WITH {KIND}, h AS (SELECT max(reads + writes + deletes) AS n, sum(reads + writes + deletes) AS everything FROM acc)
+SELECT 'whole' AS finding, 'info' AS level, count(*) AS n FROM kinds WHERE command = 'HGETALL' HAVING count(*) > 0
+UNION ALL SELECT 'databases', 'info', count(*) FROM kinds WHERE db <> 0 HAVING count(*) > 0
+UNION ALL SELECT 'hot-key', 'warn', n FROM h WHERE everything >= 100 AND 10 * n >= everything
+UNION ALL SELECT 'unknown', 'info', count(*) FROM kinds WHERE unknown HAVING count(*) > 0""",
     "agg_13_series": f"""WITH {TRAFFIC}, {SPAN}, st AS (SELECT f, l, CASE {STEPS} ELSE 86400 END AS s FROM span),
 g AS (SELECT unnest(range(f, l + 1, s)) AS bucket FROM st), c AS (SELECT f + (sec - f) // s * s AS bucket, count(*) AS n FROM traffic, st GROUP BY 1)
 SELECT bucket, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (bucket)""",
     "agg_14_peak_second": f"WITH {TRAFFIC}, {SPAN} SELECT sec, count(*) AS n FROM traffic, span WHERE sec > f AND sec < l GROUP BY sec ORDER BY n DESC, sec LIMIT 1",
     "fn_16_hosts": f"WITH {TRAFFIC} SELECT {HOST} AS host, count(*) AS n FROM traffic GROUP BY 1",
-    "joi_14_set_then_expire": f"""WITH {LINES}, w AS (SELECT client, command, key, lag(command) OVER (PARTITION BY client ORDER BY line_no) AS b, lag(key) OVER (PARTITION BY client ORDER BY line_no) AS kb FROM lines)
-SELECT client, count(*) AS n FROM w WHERE b = 'SET' AND command = 'EXPIRE' AND key = kb GROUP BY client""",
+    "joi_14_set_then_expire": f"""WITH {LINES}, m AS (SELECT *, coalesce(last(CASE command WHEN 'MULTI' THEN true WHEN 'EXEC' THEN false END IGNORE NULLS) OVER (PARTITION BY client ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS multi FROM lines),
+w AS (SELECT client, command, key, lag(command) OVER (PARTITION BY client ORDER BY line_no) AS b, lag(key) OVER (PARTITION BY client ORDER BY line_no) AS kb, lag(multi) OVER (PARTITION BY client ORDER BY line_no) AS mb FROM m)
+SELECT client, count(*) AS n FROM w WHERE b = 'SET' AND NOT mb AND command = 'EXPIRE' AND key = kb GROUP BY client""",
     "win_03_transactions": f"""WITH {LINES}, w AS (SELECT client, last(CASE command WHEN 'MULTI' THEN true WHEN 'EXEC' THEN false END IGNORE NULLS) OVER (PARTITION BY client ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM lines)
 SELECT client, coalesce(m, false) AS in_multi, count(*) AS n FROM w GROUP BY ALL""",
     "joi_15_last_script": f"""WITH {LINES}, w AS (SELECT last(CASE WHEN command = 'EVAL' THEN client END IGNORE NULLS) OVER (PARTITION BY db ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS caller FROM lines)

@@ -61,13 +61,23 @@ TRAFFIC = """traffic AS (SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BI
   'user:' || CAST(user_id AS VARCHAR) AS key, value FROM events)"""
 
 
-def dimension(spark: SparkSession) -> DataFrame:
-    """name, flags: commands that traffic is looked up in (fixed facts)."""
-    rows = [("GET", "r"), ("SET", "w"), ("HSET", "w"), ("DEL", "w"), ("EXPIRE", "w"), ("PUBLISH", "p"), ("EVAL", "x")]
-    return spark.createDataFrame(rows, "name string, flags string")
+#: Common commands by what they do (r: read, w: write, p: publish and subscribe, x: script). A longer table is a parameter.
+COMMON = {
+    "r": "GET MGET STRLEN GETRANGE EXISTS TTL PTTL TYPE HGET HMGET HGETALL HKEYS HVALS HLEN HEXISTS LRANGE LLEN LINDEX SMEMBERS SISMEMBER SCARD SUNION SINTER SDIFF ZRANGE ZREVRANGE ZSCORE ZRANK ZCARD ZCOUNT XRANGE XLEN",
+    "w": "SET SETNX MSET GETSET GETDEL APPEND INCR DECR INCRBY DECRBY DEL UNLINK EXPIRE PEXPIRE EXPIREAT PEXPIREAT PERSIST RENAME HSET HMSET HDEL HINCRBY LPUSH RPUSH LPOP RPOP LTRIM SADD SREM SPOP ZADD ZREM ZINCRBY XADD XTRIM",
+    "p": "PUBLISH SUBSCRIBE UNSUBSCRIBE PSUBSCRIBE",
+    "x": "EVAL EVALSHA FCALL",
+    "": "PING SELECT AUTH HELLO INFO MULTI EXEC DISCARD KEYS SCAN FLUSHALL FLUSHDB",
+}
+_ROWS = [(name, flags) for flags, names in COMMON.items() for name in names.split()]
 
 
-DIMENSION = "dimension(name, flags) AS (VALUES ('GET','r'), ('SET','w'), ('HSET','w'), ('DEL','w'), ('EXPIRE','w'), ('PUBLISH','p'), ('EVAL','x'))"
+def dimension(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """name, flags: commands that traffic is looked up in: a table file of these columns (all commands of a server), or the common ones."""
+    return spark.read.parquet(path).select("name", "flags") if path else spark.createDataFrame(_ROWS, "name string, flags string")
+
+
+DIMENSION = "dimension(name, flags) AS (VALUES " + ", ".join(f"('{n}','{f}')" for n, f in _ROWS) + ")"
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

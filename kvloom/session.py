@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -26,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def cut(df):
-    """Cut a loop's lineage: checkpoint() into the folder of spark.checkpoint.dir, or the cache where no folder is set (local runs)."""
+    """Cut the lineage by checkpoint() into the folder of spark.checkpoint.dir; only a local session may do without, and gets a temporary one."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spark-kvloom-"))
+    return df.checkpoint()
