@@ -165,6 +165,56 @@ def test_toxicity(spark):
     assert [r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).take(2)] == [0, 0]
 
 
+def test_long_chains_are_enumeration_too(monkeypatch):
+    """Chains cut into pieces give what one walk gives."""
+    r = np.random.default_rng(3)
+    lengths = np.array([1, 4, 2, 17, 9, 3, 301])
+    scores, moves, starts = r.normal(size=(lengths.sum(), 3)) * 4, r.normal(size=(3, 3)), r.normal(size=3)
+    whole = crf.forward_backward(scores, lengths, moves, starts)
+    for piece in (1, 2, 5, 16):
+        monkeypatch.setattr(crf, "PIECE", piece)
+        assert np.allclose(crf.forward_backward(scores, lengths, moves, starts), whole)
+
+
+def test_words_of_two_generations():
+    field = crf.Field(["a", "b"], lang_id.WordFeatures({}))
+    field.weights += np.random.default_rng(4).normal(size=field.weights.shape).astype(np.float32)
+    r = random.Random(4)
+    batches = [[" ".join(f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}Q" for _ in range(40))] for _ in range(30)]
+    plain, small = crf.Tagger(field), crf.Tagger(field, lambda w: len(w), cached=60)
+    for b in batches:
+        assert np.allclose(plain(b)[2], small(b)[2]) and (small.marked == 4).all()
+    assert len(small.words) < 200
+
+
+def test_sample_is_bounded_and_skips_absent_documents(spark):
+    rows = [(1, f"text {i % 3}", "en") for i in range(500)] + [(i, f"other {i}", "en") for i in range(2, 400)] + [(2, "third", "de"), (3, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = docs.where("text is not null").select("doc_id", "lang")
+    sample = crf.training_sample(plain, docs, "lang", 50)
+    assert len([t for t, y in sample if y == "en"]) <= 50 and [t for t, y in sample if y == "de"] in (["third"], [])
+    assert sample == crf.training_sample(plain, docs.repartition(5), "lang", 50)
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(5000, 9000)] + [(i, int(i % 2)) for i in range(400)], "doc_id long, toxic int")
+    ids = docs.where("text is not null").select("doc_id").join(labels, "doc_id")
+    assert len(crf.training_sample(ids, docs, "toxic", 1000)) > 250
+
+
+def test_language_and_toxicity_at_the_edges(spark):
+    """Extra columns with clashing names, repeated rows, null ids, very long texts without an end mark, empty tables."""
+    docs, labels, _ = labelled(spark)
+    field, model = lang_id.fit(docs), toxicity.fit(docs, labels)
+    odd = spark.createDataFrame([(900, "theaing " * 60_000, "en"), (901, "undblich theaing", None), (901, "undblich theaing", None), (None, "thebing", None)], docs.schema)
+    wide = odd.select("*", *[F.lit(7).alias(c) for c in ("score", "offsets", "lang_pred", "held_out", "keep_language0", "n_masked0", "predicted")])
+    for run, fitted in ((lang_id.predict, field), (toxicity.score, model)):
+        got = sorted(map(tuple, run(wide, fitted).collect()), key=str)
+        assert got == sorted(map(tuple, run(odd, fitted).collect()), key=str) and len(got) == 4
+        assert run(docs.where("false"), fitted).count() == 0
+    assert lang_id.keep_known(wide, field).columns == wide.columns and lang_id.keep_known(wide, field).count() == 4
+    masked = secrets.mask(wide.withColumn("n_chars", F.lit(1)))
+    assert masked.columns == [*wide.columns, "n_chars"] and masked.count() == 4
+    assert {r.lang_pred for r in lang_id.predict(odd, field).where("doc_id = 900").collect()} == {"en"}
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 
@@ -445,6 +495,20 @@ def test_shards(spark):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_shards_are_balanced(spark):
+    """Bytes near equal in the query's path. Cells of 100 groups leave 16 shards six groups each to level out, so their bound is wide; the query's hold 20,000."""
+    r = random.Random(6)
+    rows = [(i if i % 40 else None, "x" * int(min(r.paretovariate(1.3) * 50, 4000)) + str(i % 1500)) for i in range(2000)]
+    for cell, part in ((20_000, 0.001), (100, 0.05)):
+        got = sharding.shard(frame(spark, rows), 16, cell).collect()
+        size, shards = {}, {}
+        for x in got:
+            size[x.shard] = size.get(x.shard, 0) + x["size"]
+            shards.setdefault(x.text_crc32, set()).add(x.shard)
+        assert len(got) == 2000 and len(size) == 16 and all(len(s) == 1 for s in shards.values())
+        assert max(size.values()) - min(size.values()) <= part * sum(size.values()) / 16
+
+
 def test_differencing_beats_dealing():
     r = random.Random(1)
     sizes = [int(r.paretovariate(1.5) * 100) for _ in range(2000)]
