@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.commands import command_keys, crosses_slots
 from ..functions.keys import client_host, key_pattern, key_slot
 from ..session import cut
 
@@ -17,12 +18,45 @@ LADDER = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 21600,
 MOST_BUCKETS = 1500
 
 
+def _kind(flags: Column) -> Column:
+    flags = F.coalesce(flags, F.lit(""))
+    return F.when(F.contains(flags, F.lit("x")), "script").when(F.contains(flags, F.lit("p")), "pubsub").when(F.contains(flags, F.lit("w")), "write").when(F.contains(flags, F.lit("r")), "read").otherwise("other")
+
+
 def with_kind(commands: DataFrame, dimension: DataFrame) -> DataFrame:
     """commands with kind (script, pubsub, write, read, other; by the first flag that applies) and unknown. The dimension has a row a command."""
-    flags = F.coalesce("flags", F.lit(""))
-    kind = F.when(F.contains(flags, F.lit("x")), "script").when(F.contains(flags, F.lit("p")), "pubsub").when(F.contains(flags, F.lit("w")), "write").when(F.contains(flags, F.lit("r")), "read").otherwise("other")
     joined = commands.join(F.broadcast(dimension), F.upper("command") == F.col("name"), "left")
-    return joined.withColumn("kind", kind).withColumn("unknown", F.col("name").isNull()).drop("name", "flags")
+    return joined.withColumn("kind", _kind(F.col("flags"))).withColumn("unknown", F.col("name").isNull()).drop("name", "flags")
+
+
+def with_keys(commands: DataFrame, table: DataFrame) -> DataFrame:
+    """commands(args) with base, command, kind, unknown, keys (array) and key (the first).
+
+    table(name, flags, first, last, step) has a row a command, a few hundred, and is
+    broadcast; a subcommand with a row of its own ("CLIENT SETNAME") is the command,
+    and its first word the base.
+    """
+    info = F.struct("name", "flags", "first", "last", "step").alias("_info")
+    base = F.upper(F.get("args", F.lit(0)))
+    sub = F.concat(base, F.lit(" "), F.upper(F.get("args", F.lit(1))))
+    rows = commands.withColumn("base", base).withColumn("_sub", sub)
+    rows = rows.join(F.broadcast(table.select(F.col("name").alias("_sub"), info.alias("_own"))), "_sub", "left").join(F.broadcast(table.select(F.col("name").alias("base"), info.alias("_whole"))), "base", "left")
+    rows = rows.withColumn("_info", F.coalesce("_own", "_whole"))
+    found = F.col("_info")
+    keys = command_keys(F.col("args"), *[found[c] for c in ("first", "last", "step", "flags")])
+    return rows.select(*commands.columns, "base", F.coalesce(found["name"], F.col("base")).alias("command"), _kind(found["flags"]).alias("kind"), found.isNull().alias("unknown"), keys.alias("keys")).withColumn("key", F.get("keys", F.lit(0)))
+
+
+def volumes(commands: DataFrame) -> DataFrame:
+    """dimension (command, host), item, n, bytes (of all arguments), connections (calls from scripts have none).
+
+    Counted by connection and command first, so the second shuffle has no row a command line. commands as from with_keys.
+    """
+    size = F.aggregate("args", F.lit(0).cast("long"), lambda total, a: total + F.length(a))
+    per = commands.groupBy("client", "command").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    items = {"command": F.col("command"), "host": client_host(F.col("client"))}
+    rows = per.select("client", "n", "bytes", F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("item")) for n, c in items.items()])).alias("x"))
+    return rows.groupBy("x.dimension", "x.item").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count_distinct(F.when(F.col("client") != "lua", F.col("client"))).alias("connections"))
 
 
 def totals(commands: DataFrame) -> DataFrame:
@@ -37,9 +71,11 @@ def _op(command: Column, kind: Column) -> Column:
 
 
 def key_accesses(commands: DataFrame) -> DataFrame:
-    """db, key, reads, writes, deletes of commands that read or write."""
+    """db, key, reads, writes, deletes of commands that read or write: of each of their keys if there is a column keys, else of key."""
     op = _op(F.col("command"), F.col("kind"))
     rows = commands.where(F.col("kind").isin("read", "write")).withColumn("op", op)
+    if "keys" in commands.columns:
+        rows = rows.select("db", "op", F.explode("keys").alias("key"))
     return rows.groupBy("db", "key").agg(*[F.count_if(F.col("op") == o).alias(f"{o}s") for o in ("read", "write", "delete")])
 
 
@@ -132,22 +168,31 @@ def findings(accesses: DataFrame, share: float = 0.10, least: int = 100) -> Data
 #: Commands that read a whole collection, and those that set a connection up.
 WHOLE = ("SMEMBERS", "HGETALL", "HKEYS", "HVALS", "SUNION", "SINTER", "SDIFF")
 SETUP = ("AUTH", "HELLO", "SELECT", "CLIENT SETNAME", "CLIENT SETINFO")
+RANGES = ("LRANGE", "ZRANGE", "ZREVRANGE")
+#: Fixed value: bytes of a large argument.
+LARGE = 100 * 1024
 #: Level of each finding; those of one count are listed in this order.
-LEVELS = {"keys": "warn", "flush": "warn", "whole": "info", "hot-key": "warn", "set-expire": "info", "eval": "info", "setup": "info", "databases": "info", "unknown": "info"}
+LEVELS = {"keys": "warn", "flush": "warn", "whole": "info", "large": "warn", "cross-slot": "warn", "hot-key": "warn", "set-expire": "info", "eval": "info", "setup": "info", "databases": "info", "unknown": "info"}
 
 
 def traffic_findings(commands: DataFrame) -> DataFrame:
-    """finding, level, n of what is worth a second look, most frequent first. commands as from with_kind.
+    """finding, level, n of what is worth a second look, most frequent first. commands as from with_kind, or with_keys.
 
     One aggregation over the commands; hot keys and SET followed by EXPIRE are
-    aggregates of their own. Large values and keys across slots need the arguments
-    and are not here.
+    aggregates of their own. Large values, ranges over
+    a whole list and keys across slots need the columns args and keys.
     """
     name = F.col("command")
     tests = {
         "keys": name == "KEYS", "flush": name.isin("FLUSHALL", "FLUSHDB"), "whole": name.isin(*WHOLE),
         "eval": name.isin("EVAL", "EVAL_RO"), "setup": name.isin(*SETUP), "databases": (F.col("db") != 0) & (name != "SELECT"), "unknown": F.col("unknown"),
     }
+    if "args" in commands.columns:
+        whole_range = name.isin(*RANGES) & (F.get("args", F.lit(2)) == "0") & (F.get("args", F.lit(3)) == "-1")
+        tests["whole"] = tests["whole"] | F.coalesce(whole_range, F.lit(False))
+        tests["large"] = F.exists("args", lambda a: F.length(a) >= LARGE)
+    if "keys" in commands.columns:
+        tests["cross-slot"] = (F.size("keys") > 1) & crosses_slots(F.col("keys"))
     scripts = F.count_if((F.col("kind") == "script") & name.rlike("^(EVAL|FCALL)"))
     sums = commands.agg(*[F.count_if(t).alias(n) for n, t in tests.items()], scripts.alias("_scripts"), F.count("*").alias("_all"))
     told = {n: F.col(n) > 0 for n in tests}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.commands import crosses_slots
 from ..operators import slots, traffic
 from ..streaming import traffic as stream
 from . import views
@@ -104,13 +105,35 @@ def win_07_hit_curve(spark, d):
     return traffic.hit_curve(traffic.stack_distances(_reads(spark, d))).select("size", "hits")
 
 
+def _calls(spark, d):
+    return traffic.with_keys(views.argument_lines(spark, d), views.command_table(spark))
+
+
+def fn_12_special_keys(spark, d):
+    return _calls(spark, d).select("command", F.explode("keys").alias("key")).groupBy("command", "key").agg(F.count("*").alias("n"))
+
+
+def fn_14_cross_slot(spark, d):
+    crossed = (F.size("keys") > 1) & crosses_slots(F.col("keys"))
+    return _calls(spark, d).groupBy("command").agg(F.count("*").alias("n"), F.count_if(crossed).alias("crossed"))
+
+
+def agg_08_volumes(spark, d):
+    return traffic.volumes(_calls(spark, d))
+
+
+def agg_12_argument_findings(spark, d):
+    return traffic.traffic_findings(_calls(spark, d))
+
+
 def str_03_tumbling_seconds(spark, d):
     return stream.windowed_counts(spark, d)
 
 
 QUERIES = {f.__name__: f for f in (
     joi_02_command_dimension, agg_08_traffic_totals, agg_09_key_accesses, srt_03_busiest_keys, agg_10_pattern_rollup, agg_11_slot_spread, agg_12_hot_keys, agg_12_findings, agg_13_series,
-    agg_14_peak_second, fn_16_hosts, joi_14_set_then_expire, win_03_transactions, joi_15_last_script, win_07_stack_distance, win_07_hit_curve, str_03_tumbling_seconds,
+    agg_14_peak_second, fn_16_hosts, joi_14_set_then_expire, win_03_transactions, joi_15_last_script, win_07_stack_distance, win_07_hit_curve, str_03_tumbling_seconds, fn_12_special_keys, fn_14_cross_slot,
+    agg_08_volumes, agg_12_argument_findings,
 )}
 
 HOST = "regexp_replace(client, ':[0-9]+$', '')"
@@ -120,7 +143,17 @@ STACK = """a AS (SELECT event_id AS t, event_type || ':' || CAST(user_id % 40 AS
 n AS (SELECT t, key, lag(t) OVER (PARTITION BY key ORDER BY t) AS p, coalesce(lead(t) OVER (PARTITION BY key ORDER BY t), 1000000000000) AS x FROM a),
 dist AS (SELECT n.t, CASE WHEN n.p IS NULL THEN NULL ELSE count(j.t) END AS distance FROM n LEFT JOIN n j ON j.t > n.p AND j.t < n.t AND j.x > n.t GROUP BY n.t, n.p)"""
 
+CALL_SLOTS = views.SLOTS.replace(views.KEYS, views.ARGUMENT_LINES)
+CROSSED = f"{CALL_SLOTS}, crossing AS (SELECT key_idx, count(DISTINCT slot) > 1 AS crossed FROM slots GROUP BY key_idx)"
+VOLUME = "count(*) AS n, CAST(sum(words + length(names[1]) + length(names[2])) AS BIGINT) AS bytes, count(DISTINCT client) FILTER (client <> 'lua') AS connections FROM calls GROUP BY 2"
+
 ORACLES = {
+    "fn_12_special_keys": f"WITH {views.ARGUMENT_LINES} SELECT command, key, count(*) AS n FROM calls JOIN keys USING (key_idx) GROUP BY ALL",
+    "fn_14_cross_slot": f"WITH {CROSSED} SELECT command, count(*) AS n, CAST(count_if(crossed) AS BIGINT) AS crossed FROM calls JOIN crossing USING (key_idx) GROUP BY command",
+    "agg_08_volumes": f"WITH {views.ARGUMENT_LINES} SELECT 'command' AS dimension, command AS item, {VOLUME} UNION ALL SELECT 'host', {HOST}, {VOLUME}",
+    "agg_12_argument_findings": f"""WITH {CROSSED}, u AS (SELECT key, count(*) AS n FROM keys JOIN calls USING (key_idx) WHERE command <> 'EVAL' GROUP BY key), h AS (SELECT max(n) AS n, sum(n) AS everything FROM u)
+SELECT 'large' AS finding, 'warn' AS level, count(*) AS n FROM calls WHERE large HAVING count(*) > 0 UNION ALL SELECT 'cross-slot', 'warn', count(*) FROM crossing WHERE crossed HAVING count(*) > 0
+UNION ALL SELECT 'hot-key', 'warn', n FROM h WHERE everything >= 100 AND 10 * n >= everything UNION ALL SELECT 'eval', 'info', count(*) FROM calls WHERE command = 'EVAL' HAVING count(*) >= 10""",
     "joi_02_command_dimension": f"WITH {KIND} SELECT command, kind, unknown, count(*) AS n FROM kinds GROUP BY ALL",
     "agg_08_traffic_totals": f"""WITH {KIND} SELECT 'command' AS dimension, command AS item, count(*) AS n FROM kinds GROUP BY 2
 UNION ALL SELECT 'kind', kind, count(*) FROM kinds GROUP BY 2 UNION ALL SELECT 'db', CAST(db AS VARCHAR), count(*) FROM kinds GROUP BY 2

@@ -64,7 +64,7 @@ TRAFFIC = """traffic AS (SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BI
 #: Common commands by what they do (r: read, w: write, p: publish and subscribe, x: script). A longer table is a parameter.
 COMMON = {
     "r": "GET MGET STRLEN GETRANGE EXISTS TTL PTTL TYPE HGET HMGET HGETALL HKEYS HVALS HLEN HEXISTS LRANGE LLEN LINDEX SMEMBERS SISMEMBER SCARD SUNION SINTER SDIFF ZRANGE ZREVRANGE ZSCORE ZRANK ZCARD ZCOUNT XRANGE XLEN",
-    "w": "SET SETNX MSET GETSET GETDEL APPEND INCR DECR INCRBY DECRBY DEL UNLINK EXPIRE PEXPIRE EXPIREAT PEXPIREAT PERSIST RENAME HSET HMSET HDEL HINCRBY LPUSH RPUSH LPOP RPOP LTRIM SADD SREM SPOP ZADD ZREM ZINCRBY XADD XTRIM",
+    "w": "SET SETNX MSET GETSET GETDEL APPEND INCR DECR INCRBY DECRBY DEL UNLINK EXPIRE PEXPIRE EXPIREAT PEXPIREAT PERSIST RENAME HSET HMSET HDEL HINCRBY LPUSH RPUSH LPOP RPOP LTRIM SADD SREM SPOP ZADD ZREM ZINCRBY XADD XTRIM XREADGROUP SORT GEORADIUS",
     "p": "PUBLISH SUBSCRIBE UNSUBSCRIBE PSUBSCRIBE",
     "x": "EVAL EVALSHA FCALL",
     "": "PING SELECT AUTH HELLO INFO MULTI EXEC DISCARD KEYS SCAN FLUSHALL FLUSHDB",
@@ -77,6 +77,49 @@ def dimension(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path).select("name", "flags") if path else spark.createDataFrame(_ROWS, "name string, flags string")
 
 
+#: First, last and step of keys where they are not 1, 1, 1.
+PLACES = {
+    "MGET": (1, -1, 1), "MSET": (1, -1, 2), "DEL": (1, -1, 1), "UNLINK": (1, -1, 1), "EXISTS": (1, -1, 1), "RENAME": (1, 2, 1),
+    "SUNION": (1, -1, 1), "SINTER": (1, -1, 1), "SDIFF": (1, -1, 1),
+}
+SUBCOMMANDS = ("CLIENT SETNAME", "CLIENT SETINFO")
+
+
+def command_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """name, flags, first, last, step: a table file of these columns (all commands of a server), or the common ones."""
+    if path:
+        return spark.read.parquet(path).select("name", "flags", "first", "last", "step")
+    rows = [(n, f, *(PLACES.get(n, (1, 1, 1)) if f in ("r", "w") else (0, 0, 0))) for n, f in _ROWS] + [(n, "", 0, 0, 0) for n in SUBCOMMANDS]
+    return spark.createDataFrame(rows, "name string, flags string, first int, last int, step int")
+
+
+def argument_lines(spark: SparkSession, d: str) -> DataFrame:
+    """line_no, db, client, args: commands whose keys are told by counts and options, one of each event; some scripts are large."""
+    e = table(spark, d, "events")
+    user = lambda prefix, add=0: F.concat(F.lit(prefix), (F.col("user_id") + add).cast("string"))
+    words = lambda *w: F.array(*[F.lit(x) if isinstance(x, str) else x for x in w])
+    script = F.when(F.col("event_id") % 500 == 0, F.repeat(F.lit("x"), F.lit(102400))).otherwise("return 1")
+    kind = F.col("event_type")
+    args = (
+        F.when(kind == "view", words("mget", user("user:"), user("user:", 1)))
+        .when(kind == "click", words("XREADGROUP", "GROUP", "STREAMS", "c", "COUNT", "1", "STREAMS", F.concat(user("s:{"), F.lit("}:a")), F.concat(user("s:{"), F.lit("}:b")), ">", ">"))
+        .when(kind == "purchase", words("EVAL", script, "2", user("cart:"), F.concat(F.lit("stock:"), (F.col("user_id") % 10).cast("string")), "2"))
+        .when(kind == "signup", words("SORT", user("list:"), "BY", "STORE", "LIMIT", "0", "5", "STORE", user("out:")))
+        .otherwise(words("GEORADIUS", user("geo:"), "1", "2", "3", "km", "STORE", user("geo:")))
+    )
+    client = F.when(F.col("user_id") % 11 == 0, "lua").otherwise(F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string"), F.lit(":"), F.col("user_id").cast("string")))
+    return e.select(F.col("event_id").alias("line_no"), F.lit(0).alias("db"), client.alias("client"), args.alias("args"))
+
+
+#: The same commands with the keys that they have, written out by hand.
+ARGUMENT_LINES = """calls AS (SELECT event_id AS key_idx, CASE WHEN user_id % 11 = 0 THEN 'lua' ELSE '10.0.0.' || CAST(user_id % 7 AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) END AS client,
+  CASE event_type WHEN 'view' THEN 'MGET' WHEN 'click' THEN 'XREADGROUP' WHEN 'purchase' THEN 'EVAL' WHEN 'signup' THEN 'SORT' ELSE 'GEORADIUS' END AS command,
+  CASE event_type WHEN 'view' THEN ['user:' || user_id, 'user:' || (user_id + 1)] WHEN 'click' THEN ['s:{' || user_id || '}:a', 's:{' || user_id || '}:b']
+    WHEN 'purchase' THEN ['cart:' || user_id, 'stock:' || (user_id % 10)] WHEN 'signup' THEN ['list:' || user_id, 'out:' || user_id] ELSE ['geo:' || user_id, 'geo:' || user_id] END AS names,
+  CASE event_type WHEN 'view' THEN 4 WHEN 'click' THEN 38 WHEN 'purchase' THEN 6 + CASE WHEN event_id % 500 = 0 THEN 102400 ELSE 8 END WHEN 'signup' THEN 23 ELSE 19 END AS words,
+  event_type = 'purchase' AND event_id % 500 = 0 AS large FROM events),
+keys AS (SELECT key_idx, unnest(names) AS key FROM calls)"""
+
 DIMENSION = "dimension(name, flags) AS (VALUES " + ", ".join(f"('{n}','{f}')" for n, f in _ROWS) + ")"
 
 

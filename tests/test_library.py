@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kvloom.functions import keys as K, placement as P
+from kvloom.functions import commands, keys as K, placement as P
 from kvloom.functions.conditions import number_key
 from kvloom.operators import keyspace, placement, slots, store, traffic
+from kvloom.plans import views
 from kvloom.sources import text as sources
 from kvloom.streaming import traffic as stream
 
@@ -215,3 +216,64 @@ def test_setting_lines_give_what_last_settings_joins(spark):
     assert {n: (own[0].value, ",".join(str(x.line) for x in own)) for n, own in got.items()} == want
     assert all([x.place for x in own] == list(range(1, len(own) + 1)) for own in got.values())
     assert store.setting_lines(lines.limit(0)).count() == 0
+
+
+#: A command, its table row (first, last, step, flags; none: unknown) and the keys it has.
+FORMS = [
+    ("SET k v EX 5", (1, 1, 1, "w"), ["k"]),
+    ("mset a 1 b 2 c 3", (1, -1, 2, "w"), ["a", "b", "c"]),
+    ("RENAME a b", (1, 2, 1, "w"), ["a", "b"]),
+    ("BLPOP a b 0", (1, -2, 1, "w"), ["a", "b"]),
+    ("SPUBLISH channel text", (1, 1, 1, "p"), []),
+    ("GET", (1, 1, 1, "r"), []),
+    ("NOSUCH a b", None, []),
+    ("EVAL script 2 a b c", None, ["a", "b"]),
+    ("EVAL script 3 a b", None, []),
+    ("EVAL script 0 a", None, []),
+    ("EVAL script", None, []),
+    ("FCALL f x a", None, []),
+    ("BLMPOP 0 2 a b LEFT", None, ["a", "b"]),
+    ("ZUNIONSTORE d 2 a b WEIGHTS 1 2", None, ["d", "a", "b"]),
+    ("ZUNIONSTORE d 9 a", None, ["d"]),
+    ("XREAD COUNT 2 BLOCK 0 STREAMS a b 0 0", None, ["a", "b"]),
+    ("XREADGROUP GROUP STREAMS streams COUNT STREAMS NOACK streams a >", None, ["a"]),
+    ("XREAD STREAMS a b 0", None, []),
+    ("XREAD other STREAMS a 0", None, []),
+    ("SORT a BY STORE GET STORE STORE d", None, ["a", "d"]),
+    ("SORT a LIMIT 0 STORE DESC", None, ["a"]),
+    ("SORT a STORE b STORE c", None, ["a", "c"]),
+    ("SORT a STORE", None, ["a"]),
+    ("SORT_RO a STORE b", None, ["a"]),
+    ("GEORADIUS a 1 2 3 km STORE b STOREDIST c", None, ["a", "c"]),
+    ("GEORADIUSBYMEMBER a m 3 km STOREDIST b", None, ["a", "b"]),
+    ("MIGRATE h 1 k 0 5 AUTH KEYS", None, ["k"]),
+    ("MIGRATE h 1 '' 0 5 COPY AUTH2 KEYS KEYS KEYS a b", None, ["a", "b"]),
+    ("MIGRATE h 1 k 0 5 KEYS a", None, []),
+    ("CLUSTERSCAN 0", (1, 1, 1, "r"), []),
+    ("MSETEX 2 a 1 b 2 EX 5", None, ["a", "b"]),
+    ("MSETEX 2 a 1 b", None, []),
+]
+
+
+def test_keys_of_command_forms(spark):
+    rows = [(i, [w.strip("'") for w in f.split(" ")], *(row or (None,) * 4)) for i, (f, row, _) in enumerate(FORMS)]
+    df = spark.createDataFrame(rows, "i int, args array<string>, first int, last int, step int, flags string")
+    got = {r.i: r.k for r in df.select("i", commands.command_keys(*[F.col(c) for c in ("args", "first", "last", "step", "flags")]).alias("k")).collect()}
+    assert [got[i] for i in range(len(FORMS))] == [want for _, _, want in FORMS]
+
+
+def test_subcommands_bytes_and_findings_of_arguments(spark):
+    lines = [
+        ("client", ["client", "setname", "x"]), ("client", ["CLIENT", "LIST"]), ("lua", ["GET", "a"]), ("1.1.1.1:5", ["LRANGE", "l", "0", "-1"]),
+        ("1.1.1.1:6", ["MGET", "a", "b"]), ("1.1.1.1:6", ["MGET", "{t}a", "{t}b"]), ("1.1.1.1:6", ["SET", "a", "x" * (100 * 1024)]), ("1.1.1.1:6", []),
+    ]
+    df = spark.createDataFrame([(i, 0, c, a) for i, (c, a) in enumerate(lines)], "line_no int, db int, client string, args array<string>")
+    calls = traffic.with_keys(df, views.command_table(spark))
+    assert [(r.base, r.command, r.unknown) for r in calls.orderBy("line_no").limit(2).collect()] == [("CLIENT", "CLIENT SETNAME", False), ("CLIENT", "CLIENT", True)]
+    host = traffic.volumes(calls).where("item = '1.1.1.1'").first()
+    assert (host.n, host.connections, host.bytes) == (5, 2, 10 + 6 + 12 + 4 + 100 * 1024)
+    assert traffic.volumes(calls).where("item = 'GET'").first().connections == 0
+    found = {r.finding: r.n for r in traffic.traffic_findings(calls).collect()}
+    assert found["whole"] == found["large"] == found["cross-slot"] == 1
+    accesses = {(r.key): (r.reads, r.writes) for r in traffic.key_accesses(calls).collect()}
+    assert accesses["a"] == (2, 1) and accesses["b"] == (1, 0)
