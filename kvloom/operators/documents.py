@@ -74,3 +74,10 @@ def numbers_except(a: Column, b: Column) -> Column:
     """Members of a that b does not hold by value; null if none is left, as an empty set cannot be kept."""
     left = F.filter(a, lambda x: ~F.exists(b, lambda y: number_key(x) == number_key(y)))
     return F.when(F.size(left) > 0, left)
+
+
+def list_append(a: Column, b: Column) -> Column:
+    """Typed JSON text of the list a followed by b; null unless both are lists."""
+    first, second = (F.try_variant_get(F.try_parse_json(x), "$.L", "array<variant>") for x in (a, b))
+    both = F.concat(first, second)
+    return F.when(both.isNotNull(), F.to_json(F.struct(both.alias("L"))))

@@ -33,3 +33,19 @@ def moved_slots(layout: DataFrame, plan: DataFrame) -> DataFrame:
     order = Window.partitionBy("donor").orderBy(F.desc("slots"), "receiver").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stretches = plan.withColumn("hi", F.sum("slots").over(order)).withColumn("lo", F.col("hi") - F.col("slots"))
     return ranked.join(F.broadcast(stretches), (F.col("node") == F.col("donor")) & (F.col("place") > F.col("lo")) & (F.col("place") <= F.col("hi"))).select("slot", "donor", "receiver")
+
+
+def find_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """nodes(id, host, port), refs(ref) -> ref, id, problem (null if one node is meant): by full id, host:port or a prefix of an id of six hex digits or more.
+
+    Prefixes meet ids by their first six digits, so every join has an equality.
+    """
+    asked = refs.select("ref", F.lower(F.trim("ref")).alias("r")).distinct()
+    named = nodes.select("id", F.lower(F.concat("host", F.lit(":"), F.col("port").cast("string"))).alias("address"))
+    wanted = asked.select("r").distinct()
+    exact = wanted.join(named.select("id", F.explode(F.array_distinct(F.array("id", "address"))).alias("r")), "r").groupBy("r").agg(F.count("*").alias("n_exact"), F.max("id").alias("exact"))
+    prefixes = wanted.where(F.regexp_like("r", F.lit("^[0-9a-f]{6,}$"))).withColumn("six", F.substring("r", 1, 6))
+    begun = prefixes.join(named.select("id", F.substring("id", 1, 6).alias("six")), "six").where(F.startswith("id", F.col("r"))).groupBy("r").agg(F.count("*").alias("n_begun"), F.max("id").alias("begun"))
+    found = F.when(F.col("n_exact") == 1, F.col("exact")).when(F.col("n_begun") == 1, F.col("begun"))
+    problem = F.when(found.isNull(), F.when(F.col("n_begun") > 1, "more than one node").otherwise("no such node"))
+    return asked.join(exact, "r", "left").join(begun, "r", "left").select("ref", found.alias("id"), problem.alias("problem"))

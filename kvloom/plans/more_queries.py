@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import keys as K
 from ..functions.conditions import Attr
-from ..operators import keyspace, rebalance, store as S
+from ..operators import documents, keyspace, rebalance, store as S
 from ..sources import text as sources
 from ..session import cut
 from . import views
@@ -181,16 +181,49 @@ def agg_18_resp_counts(spark, d):
     return resp.groupBy(F.split_part("r", F.lit("\r\n"), F.lit(3)).alias("command")).agg(F.count("*").alias("n"))
 
 
+def fil_09_find_nodes(spark, d):
+    """Nodes by a prefix in capitals, by address (some of which several nodes have) and by too short a prefix."""
+    c = views.table(spark, d, "customer")
+    nodes = c.select(F.md5(F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("10.0.0."), (F.col("c_custkey") % 200).cast("string")).alias("host"), F.lit(6379).alias("port"))
+    s = views.table(spark, d, "supplier").withColumn("id", F.md5(F.col("s_suppkey").cast("string")))
+    address = F.concat(F.lit("10.0.0."), (F.col("s_suppkey") % 200).cast("string"), F.lit(":6379"))
+    ref = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit(" "), F.upper(F.substring("id", 1, 8)))).when(F.col("s_suppkey") % 4 == 1, address).when(F.col("s_suppkey") % 4 == 2, F.substring("id", 1, 5)).otherwise(F.col("id"))
+    return rebalance.find_nodes(nodes, s.select(ref.alias("ref")))
+
+
+def ex_08_list_append(spark, d):
+    """Status and customer of an order followed by its priority; every fifth priority is no list."""
+    o = views.table(spark, d, "orders")
+    status = F.concat(F.lit('{"L":[{"S":"'), F.col("o_orderstatus"), F.lit('"},{"N":"'), F.col("o_custkey").cast("string"), F.lit('.50"}]}'))
+    text = F.concat(F.lit('{"S":"'), F.col("o_orderpriority"), F.lit('"}'))
+    more = F.when(F.col("o_orderkey") % 5 == 0, text).otherwise(F.concat(F.lit('{"L":['), text, F.lit("]}")))
+    return o.select("o_orderkey", documents.list_append(status, more).alias("list"))
+
+
+def win_05_setting_lines(spark, d):
+    e = views.table(spark, d, "events")
+    return S.setting_lines(e.select(F.col("event_id").alias("line"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("value")))
+
+
 QUERIES = {f.__name__: f for f in (
     agg_03_folded_levels, agg_04_own_patterns, srt_06_top_patterns, fil_06_key_page, srt_08_page, fil_09_node_lookup, win_11_moves, win_04_current_db, win_06_pairs, joi_05_fewest_unknown,
     joi_08_not_matching, joi_07_ranked_reasons, joi_19_categories, agg_28_category_counts, agg_22_findings, set_04_node_sets, set_05_unknown_names, fn_12_key_positions, fn_22_sizes,
     fn_23_durations, fn_19_digits, fn_24_encodings, prj_02_key_template, prj_03_plain, src_17_json, agg_29_conversion_stats, agg_18_resp_counts,
+    fil_09_find_nodes, ex_08_list_append, win_05_setting_lines,
 )}
 
 CATS = "cats(command, category) AS (VALUES ('get','read'),('get','string'),('get','fast'),('set','write'),('set','string'),('set','slow'),('hset','write'),('hset','hash'),('hset','fast'),('del','write'),('del','keyspace'),('eval','scripting'),('eval','slow'))"
 PAT = f"{PATTERNS}, g AS (SELECT array_to_string(p, ':') AS pattern, count(*) AS keys, sum(strlen(key)) AS bytes FROM pats GROUP BY 1)"
 
 ORACLES = {
+    "fil_09_find_nodes": """WITH n AS (SELECT md5(CAST(c_custkey AS VARCHAR)) AS id, '10.0.0.' || (c_custkey % 200) || ':6379' AS address FROM customer),
+q AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN ' ' || upper(md5(CAST(s_suppkey AS VARCHAR))[1:8]) WHEN 1 THEN '10.0.0.' || (s_suppkey % 200) || ':6379' WHEN 2 THEN md5(CAST(s_suppkey AS VARCHAR))[1:5] ELSE md5(CAST(s_suppkey AS VARCHAR)) END AS ref FROM supplier),
+m AS (SELECT ref, count(*) FILTER (id = lower(trim(ref)) OR address = lower(trim(ref))) AS e, max(id) FILTER (id = lower(trim(ref)) OR address = lower(trim(ref))) AS eid,
+  count(*) FILTER (starts_with(id, lower(trim(ref))) AND length(trim(ref)) >= 6) AS b, max(id) FILTER (starts_with(id, lower(trim(ref))) AND length(trim(ref)) >= 6) AS bid FROM q, n GROUP BY ref)
+SELECT ref, CASE WHEN e = 1 THEN eid WHEN b = 1 THEN bid END AS id, CASE WHEN e = 1 OR b = 1 THEN NULL WHEN b > 1 THEN 'more than one node' ELSE 'no such node' END AS problem FROM m""",
+    "ex_08_list_append": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN '{"L":[{"S":"' || o_orderstatus || '"},{"N":"' || o_custkey || '.50"},{"S":"' || o_orderpriority || '"}]}' END AS list FROM orders""",
+    "win_05_setting_lines": """SELECT event_id AS line, 'user-' || user_id AS name, last_value(event_type) OVER w AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "agg_03_folded_levels": f"""WITH {KEYS}, o AS (SELECT 'n' || split_part(key, ':', 2) || 'x' AS c, count(*) AS n FROM keys WHERE starts_with(key, 'order:') GROUP BY 1),
 busy AS (SELECT count(*) > 50 AND count_if(n <= 20) >= 0.8::DOUBLE * count(*) AS b FROM o),
 f AS (SELECT CASE WHEN b AND n <= 20 THEN 'order:<*>:<id>' ELSE 'order:' || c || ':<id>' END AS pattern, n AS keys FROM o, busy

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kvloom.functions import commands, keys as K, placement as P
 from kvloom.functions.conditions import number_key
-from kvloom.operators import keyspace, placement, slots, store, traffic
+from kvloom.operators import documents, keyspace, placement, rebalance, slots, store, traffic
 from kvloom.plans import views
 from kvloom.sources import text as sources
 from kvloom.streaming import traffic as stream
@@ -277,3 +277,17 @@ def test_subcommands_bytes_and_findings_of_arguments(spark):
     assert found["whole"] == found["large"] == found["cross-slot"] == 1
     accesses = {(r.key): (r.reads, r.writes) for r in traffic.key_accesses(calls).collect()}
     assert accesses["a"] == (2, 1) and accesses["b"] == (1, 0)
+
+
+def test_find_nodes(spark):
+    nodes = spark.createDataFrame([("abcdef01", "h1", 1), ("abcdef02", "h2", 1), ("0123456789", "h2", 2), ("fedcba", "H3", 1)], "id string, host string, port int")
+    refs = ["ABCDEF01", "abcdef", "012345", "01234", "h2:2", "h3:1 ", "h9:1", None]
+    got = {r.ref: (r.id, r.problem) for r in rebalance.find_nodes(nodes, spark.createDataFrame([(r,) for r in refs], "ref string")).collect()}
+    none = (None, "no such node")
+    assert got == {"ABCDEF01": ("abcdef01", None), "abcdef": (None, "more than one node"), "012345": ("0123456789", None), "01234": none, "h2:2": ("0123456789", None), "h3:1 ": ("fedcba", None), "h9:1": none, None: none}
+
+
+def test_list_append(spark):
+    rows = [('{"L":[]}', '{"L":[{"N":"1.50"}]}'), ('{"L":[{"M":{"a":{"S":"x"}}}]}', '{"L":[{"BOOL":true}]}'), ('{"S":"x"}', '{"L":[]}'), (None, '{"L":[]}'), ("no json", '{"L":[]}')]
+    got = spark.createDataFrame(rows, "a string, b string").select(documents.list_append(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == ['{"L":[{"N":"1.50"}]}', '{"L":[{"M":{"a":{"S":"x"}}},{"BOOL":true}]}', None, None, None]
