@@ -19,5 +19,6 @@ _as_bigint("agg_09_key_accesses", "reads", "writes", "deletes")
 _as_bigint("srt_03_busiest_keys", "reads", "writes", "deletes", "total")
 _as_bigint("agg_10_pattern_rollup", "read_once")
 _as_bigint("agg_12_hot_keys", "total")
+_as_bigint("agg_12_findings", "n")
 _as_bigint("fil_02_comparisons", "eq", "ne", "lt", "ge", "not_ge")
 _as_bigint("fil_05_functions", "not_exists", "begins", "contains", "element", "size")
