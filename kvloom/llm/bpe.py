@@ -12,11 +12,17 @@ is then applied as a gadget, in order of rank:
   new token is what could stand before its left half).
 
 A copy shares the arcs of its original and remembers the rank at which it was
-taken, so compiling is one pass over the merges; an arc is looked up through the
-copies and then kept in a flat table. Every prefix of a word has one accepted
-path, so encoding goes over a word once and keeps the state reached at each
-position; the path's labels are the tokens. Decoding emits the labels of the
-arcs.
+taken, so compiling is one pass over the merges, and an arc is looked up through
+the copies.
+
+Words come as characters, so the automaton is made deterministic over characters:
+a row stands for the tokens that may be under way (characters read of each, and
+the token before it), and its entry for a character names the next row and the
+token that ends there. Every prefix of a word has one accepted path, so there is
+never more than one such token, and a word is one walk over the table followed by
+one walk back over its tokens. Rows and entries are made when text first needs
+them and then kept: all 49,000 x 49,000 arcs would fit no worker. The table is
+emptied at ROWS rows, which changes no result. Decoding emits the arcs' labels.
 
 Defined results: a null text is as empty (no ids, decoded text empty); repeated
 rows give repeated results; other columns are not read.
@@ -37,7 +43,7 @@ from .common import map_columns
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
-TABLE_ENTRIES = 400_000
+ROWS = 100_000
 WORD_ENTRIES = 150_000
 #: Fixed pattern of the vocabulary's file; white space as its library reads it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x85\p{Z}\p{L}\p{N}]+")
@@ -66,26 +72,20 @@ class Automaton:
         self.follow_of = [BASE] * size
         self.stand_of = [BASE] * size
         self.removed: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
         for rank, (left, right) in enumerate(merges):
             self._gadget(rank, vocab[left], vocab[right], vocab[left + right])
-        self.longest = max(map(len, vocab))
+        bodies = {t.removesuffix(END) for t in vocab}
+        self.begun = {body[:n] for body in bodies for n in range(1, len(body))}
+        self.length = {i: len(t.removesuffix(END)) for t, i in vocab.items()}
+        self.rows: dict[tuple, Row] = {}
+        self.start = Row(self, (("", BASE),))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         self.removed[u, v] = rank
         self.birth[w], self.follow_of[w], self.stand_of[w] = rank, v, u
 
-    def arc(self, state: int, label: int) -> bool:
-        """May label follow state?"""
-        known = self.table.get((state, label))
-        if known is None:
-            if len(self.table) >= TABLE_ENTRIES:
-                self.table.clear()
-            known = self.table[state, label] = self._resolve(state, label)
-        return known
-
-    def _resolve(self, s: int, x: int) -> bool:
-        """Through the copies: the younger of the two is a copy, so look at its original as of the copy's rank."""
+    def arc(self, s: int, x: int) -> bool:
+        """May label x follow state s? Through the copies: the younger of the two is a copy, so look at its original as of the copy's rank."""
         until = len(self.removed) + 1
         while True:
             if self.removed.get((s, x), until) < until:
@@ -100,34 +100,63 @@ class Automaton:
                 until = min(until, self.birth[x] + 1)
                 x = self.stand_of[x]
 
+    def row(self, branches: tuple) -> "Row":
+        found = self.rows.get(branches)
+        if found is None:
+            found = self.rows[branches] = Row(self, branches)
+        return found
+
+    def make_room(self) -> None:
+        """Empty a full table. Between words only: a walk holds a row."""
+        if len(self.rows) >= ROWS:
+            for row in self.rows.values():
+                row.clear()
+            self.rows.clear()
+            self.start.clear()
+
     def path(self, word: str) -> list[int]:
         """Labels of the accepted path over a word (visible characters), the last one with the word end."""
-        n = len(word)
-        label_of, table = self.ids.get, self.table
-        state, since = [BASE] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            # Short labels first: the path is the only one, and most labels are short.
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                label = label_of(word[start:end]) if end < n else label_of(word[start:end] + END)
-                if label is None:
-                    continue
-                if start:
-                    before = state[start]
-                    if before == BASE:
-                        continue
-                    follows = table.get((before, label))
-                    if not (self.arc(before, label) if follows is None else follows):
-                        continue
-                state[end], since[end] = label, start
-                break
-        labels = []
-        at = n
+        self.make_room()
+        row, ended = self.start, []
+        for character in word[:-1]:
+            row, label = row[character]
+            ended.append(label)
+        ended.append(row[word[-1] + END][1])
+        labels, at = [], len(word)
         while at:
-            labels.append(state[at])
-            at = since[at]
+            labels.append(ended[at - 1])
+            at -= self.length[labels[-1]]
         return labels[::-1]
 
 
+class Row(dict):
+    """Character (with the word end, if it is the last) -> (next row, label of the arc that ends with it or None).
+
+    branches: (characters read of a token under way, the token before it), the longest first.
+    """
+
+    __slots__ = ("automaton", "branches")
+
+    def __init__(self, automaton: Automaton, branches: tuple):
+        super().__init__()
+        self.automaton, self.branches = automaton, branches
+
+    def __missing__(self, character: str) -> tuple["Row", int | None]:
+        a = self.automaton
+        ended, under_way = None, []
+        for read, before in self.branches:
+            grown = read + character
+            label = a.ids.get(grown)
+            if label is not None and (before == BASE or a.arc(before, label)):
+                ended = label
+            if grown in a.begun:
+                under_way.append((grown, before))
+        if ended is not None:
+            under_way.append(("", ended))
+        entry = self[character] = a.row(tuple(under_way)), ended
+        return entry
+
+
 def pieces(text: str) -> list[str]:
     """Words of a lower-case text. The built-in patterns say the same as the fixed one where a text has no odd white space or numerals, and are faster."""
     if ODD_SPACE.search(text):

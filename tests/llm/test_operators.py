@@ -330,6 +330,20 @@ def test_bpe_is_the_library(spark):
     assert bpe.encode(frame(spark, [(1, None)])).collect()[0].ids == "" and bpe.encode_digests(empty(spark)).count() == 0
 
 
+def test_bpe_table_is_deterministic_and_may_be_emptied(monkeypatch):
+    enc = bpe.encoder()
+    words = ["tokenization", "a" * 3000, "the", "zq9x", "internationally", "ion", "th"]
+    paths = [enc.automaton.path(w) for w in words]
+    row = enc.automaton.start["t"][0]
+    assert row is enc.automaton.start["t"][0] and row["h"][1] == enc.automaton.ids["th"]
+    monkeypatch.setattr(bpe, "ROWS", 3)
+    assert [enc.automaton.path(w) for w in words] == paths and len(enc.automaton.rows) < 3000
+    # Each pair of neighbours is an arc, and every path spells its word.
+    for word, path in zip(words, paths):
+        assert "".join(enc.automaton.text[i] for i in path) == word + bpe.END
+        assert all(enc.automaton.arc(a, b) for a, b in zip(path, path[1:]))
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 
