@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.conditions import Attr, number_key
+from ..functions.values import plus
 
 
 def typed_value(column: Column, kind: T.DataType) -> Column | None:
@@ -81,3 +84,36 @@ def list_append(a: Column, b: Column) -> Column:
     first, second = (F.try_variant_get(F.try_parse_json(x), "$.L", "array<variant>") for x in (a, b))
     both = F.concat(first, second)
     return F.when(both.isNotNull(), F.to_json(F.struct(both.alias("L"))))
+
+
+def _member(typed: Column, tag: str, kind: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(typed), f"$.{tag}", kind)
+
+
+def added(current: Column, value: Column) -> Column:
+    """ADD: typed JSON text of a number plus a number, or a set with the members of another; the value itself where there is nothing yet.
+
+    Null for values of different or other types, and for a sum that cannot be stored.
+    """
+    total = plus(_member(current, "N", "string"), _member(value, "N", "string"))
+    sets = {t: (_member(current, t, "array<string>"), _member(value, t, "array<string>")) for t in ("SS", "NS", "BS")}
+    out = F.when(current.isNull(), value).when(total.isNotNull(), F.to_json(F.struct(total.alias("N"))))
+    for tag, (a, b) in sets.items():
+        both = numbers_union(a, b) if tag == "NS" else F.concat(a, F.array_except(b, a))
+        out = out.when(both.isNotNull(), F.to_json(F.struct(both.alias(tag))))
+    return out
+
+
+def update_list(typed: Column, sets: dict[int, Column] | None = None, removes: tuple[int, ...] = ()) -> Column:
+    """Typed JSON text of a list with elements set and removed, by their places before the update.
+
+    sets: place -> typed JSON text. Places past the end are appended in order of place; removing there does nothing. Null for what is no list.
+    """
+    sets = sets or {}
+    old = _member(typed, "L", "array<variant>")
+    element = lambda x, i: F.struct(i.alias("i"), reduce(lambda rest, k: F.when(i == k, F.try_parse_json(sets[k])).otherwise(rest), sets, x).alias("x"))
+    kept = F.filter(F.transform(old, element), lambda e: ~e.i.isin(*removes)) if removes else F.transform(old, element)
+    out = F.transform(kept, lambda e: e.x)
+    for place in sorted(sets):
+        out = F.when(F.size(old) <= place, F.concat(out, F.array(F.try_parse_json(sets[place])))).otherwise(out)
+    return F.when(old.isNotNull(), F.to_json(F.struct(out.alias("L"))))

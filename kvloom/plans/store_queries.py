@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys as K
+from ..functions import keys as K, values as V
 from ..functions.conditions import Attr, number_key, utf16_size
 from ..operators import documents as D, revisions as R, store as S
 from . import views
@@ -196,6 +196,46 @@ def set_01_number_sets(spark, d):
     return c.select("c_custkey", F.array_join(D.numbers_union(a, b), " ").alias("both"), F.array_join(D.numbers_except(a, b), " ").alias("rest"))
 
 
+def _tagged(tag, column):
+    return F.to_json(F.struct(column.cast("string").alias(tag)))
+
+
+def ex_09_arithmetic(spark, d):
+    """SET a = balance + 10^20, b = balance - balance, exact."""
+    c = views.table(spark, d, "customer")
+    n = F.concat((F.col("c_acctbal") * 100).cast("long").cast("string"), F.lit("e-2"))
+    return c.select("c_custkey", V.plus(n, F.lit("1e20")).alias("more"), V.minus(n, n).alias("none"), V.plus(n, F.lit("1e60")).alias("too_exact"))
+
+
+def ex_10_list_elements(spark, d):
+    """SET l[0], l[9]; REMOVE l[1], l[7] of a list of three."""
+    c = views.table(spark, d, "customer")
+    one = lambda x: F.struct(x.cast("string").alias("S"))
+    before = F.to_json(F.struct(F.array(one(F.col("c_name")), one(F.col("c_nationkey")), one(F.col("c_mktsegment"))).alias("L")))
+    return c.select("c_custkey", D.update_list(before, {9: _tagged("S", F.lit("end")), 0: _tagged("S", F.col("c_custkey"))}, (1, 7)).alias("after"))
+
+
+def ex_11_add(spark, d):
+    """ADD to a number, to a set, to nothing, and to another type."""
+    c = views.table(spark, d, "customer")
+    k, nation = F.col("c_custkey") % 4, F.col("c_nationkey")
+    texts = lambda *x: F.to_json(F.struct(F.array(*[y.cast("string") for y in x]).alias("SS")))
+    now = F.when(k == 0, _tagged("N", nation)).when(k == 1, texts(F.col("c_name"), F.lit("a"))).when(k == 2, _tagged("S", nation))
+    value = F.when(k == 1, texts(F.lit("a"), F.col("c_mktsegment"))).otherwise(_tagged("N", F.lit("0.5")))
+    return c.select("c_custkey", D.added(now, value).alias("after"))
+
+
+def ex_13_deep_equality(spark, d):
+    """Maps in another order, sets in another order, numbers in another spelling; lists keep theirs."""
+    c = views.table(spark, d, "customer")
+    number, name = F.col("c_nationkey").cast("string"), F.col("c_name")
+    left = F.format_string('{"M": {"a": {"NS": ["%s", "100"]}, "b": {"L": [{"S": "%s"}, {"N": "%s"}]}}}', number, name, number)
+    right = F.format_string('{"M": {"b": {"L": [{"S": "%s"}, {"N": "%s.0"}]}, "a": {"NS": ["1e2", "%s"]}}}', name, number, number)
+    turned = F.format_string('{"M": {"a": {"NS": ["%s", "100"]}, "b": {"L": [{"N": "%s"}, {"S": "%s"}]}}}', number, number, name)
+    other = F.when(F.col("c_custkey") % 3 == 0, turned).otherwise(right)
+    return c.select("c_custkey", V.same_value(left, other).alias("equal"), V.same_value(_tagged("N", number), _tagged("S", number)).alias("of_two_types"))
+
+
 def fn_18_number_order(spark, d):
     """Place of each number within its nation, by value: '12345e-2' is 123.45."""
     from pyspark.sql import Window
@@ -245,7 +285,7 @@ def agg_27_least_privilege(spark, d):
 QUERIES = {f.__name__: f for f in (
     joi_13_as_of_revision, agg_19_mvcc_rollup, win_02_history, agg_21_prefix_sizes, joi_10_resources, joi_09_lease_counts, srt_05_top_keys, agg_15_snapshot_totals, agg_16_ttl_histogram,
     srt_04_largest, agg_17_snapshot_prefixes, snk_01_resp, snk_02_build, agg_26_build_summary, win_01_first_per_key, snk_03_csv_guard, snk_06_batches, fil_01_and_or_not, fil_02_comparisons,
-    fil_03_between, fil_04_in, fil_05_functions, fn_20_utf16_size, prj_01_projection, srt_01_sorted_query, prj_05_update, set_01_number_sets, fn_18_number_order, joi_03_setting_differences,
+    fil_03_between, fil_04_in, fil_05_functions, fn_20_utf16_size, prj_01_projection, srt_01_sorted_query, prj_05_update, set_01_number_sets, ex_09_arithmetic, ex_10_list_elements, ex_11_add, ex_13_deep_equality, fn_18_number_order, joi_03_setting_differences,
     joi_04_version_scores, win_05_last_setting, joi_06_glob_permissions, set_06_last_rule, agg_27_least_privilege,
 )}
 
@@ -287,6 +327,13 @@ UNION ALL SELECT 0, idx, 'DEL', k FROM f UNION ALL SELECT 2, idx, 'EXPIRE', k ||
     "srt_01_sorted_query": f"WITH {ITEMS} SELECT c_custkey, CAST(balance AS VARCHAR) AS balance FROM items WHERE segment = 'BUILDING' AND balance IS NOT NULL ORDER BY items.balance, c_custkey LIMIT 20",
     "prj_05_update": """SELECT c_custkey, CASE WHEN c_nationkey > 9 THEN 'flag,' ELSE '' END || 'odd' || CASE WHEN c_mktsegment <> 'BUILDING' THEN ',segment' ELSE '' END AS changed FROM customer""",
     "set_01_number_sets": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) || ' ' || CAST(c_nationkey + 100000 AS VARCHAR) || CASE WHEN c_custkey = c_nationkey + 100000 THEN '' ELSE '' END || ' 1e9' AS both, CAST(c_nationkey + 100000 AS VARCHAR) AS rest FROM customer",
+    "ex_09_arithmetic": """WITH n AS (SELECT c_custkey, CAST(trunc(c_acctbal * 100) AS BIGINT) AS c FROM customer),
+t AS (SELECT *, CAST(c AS HUGEINT) + CAST('10000000000000000000000' AS HUGEINT) AS total FROM n)
+SELECT c_custkey, CAST(total // 100 AS VARCHAR) || CASE WHEN total % 100 = 0 THEN '' WHEN total % 10 = 0 THEN '.' || CAST(total % 100 // 10 AS VARCHAR) ELSE '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') END AS more,
+CASE WHEN c % 100 = 0 THEN '0' WHEN c % 10 = 0 THEN '0.0' ELSE '0.00' END AS none, CASE WHEN c = 0 THEN '1' || repeat('0', 60) END AS too_exact FROM t""",
+    "ex_10_list_elements": """SELECT c_custkey, '{"L":[{"S":"' || CAST(c_custkey AS VARCHAR) || '"},{"S":"' || c_mktsegment || '"},{"S":"end"}]}' AS after FROM customer""",
+    "ex_11_add": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{"N":"' || CAST(c_nationkey AS VARCHAR) || '.5"}' WHEN 1 THEN '{"SS":["' || c_name || '","a","' || c_mktsegment || '"]}' WHEN 3 THEN '{"N":"0.5"}' END AS after FROM customer""",
+    "ex_13_deep_equality": "SELECT c_custkey, c_custkey % 3 <> 0 AS equal, false AS of_two_types FROM customer",
     "fn_18_number_order": "SELECT c_custkey, CAST(CAST(trunc(c_acctbal * 100) AS BIGINT) AS VARCHAR) || 'e-2' AS n, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY trunc(c_acctbal * 100), c_custkey) AS INTEGER) AS place FROM customer",
     "joi_03_setting_differences": f"""WITH {GOT}, {VERSIONS}, d AS (SELECT * FROM defs WHERE version = 'b1') SELECT coalesce(g.name, d.name) AS name,
   CASE WHEN d.name IS NULL THEN 'unknown' WHEN g.name IS NULL THEN 'hidden' WHEN g.value = d.value THEN 'same' ELSE 'changed' END AS status FROM got g FULL JOIN d ON g.name = d.name""",

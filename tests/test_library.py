@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kvloom.functions import commands, keys as K, placement as P
+from kvloom.functions import commands, keys as K, placement as P, values
 from kvloom.functions.conditions import number_key
 from kvloom.operators import documents, keyspace, placement, rebalance, slots, store, traffic
 from kvloom.plans import views
@@ -291,3 +291,43 @@ def test_list_append(spark):
     rows = [('{"L":[]}', '{"L":[{"N":"1.50"}]}'), ('{"L":[{"M":{"a":{"S":"x"}}}]}', '{"L":[{"BOOL":true}]}'), ('{"S":"x"}', '{"L":[]}'), (None, '{"L":[]}'), ("no json", '{"L":[]}')]
     got = spark.createDataFrame(rows, "a string, b string").select(documents.list_append(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == ['{"L":[{"N":"1.50"}]}', '{"L":[{"M":{"a":{"S":"x"}}},{"BOOL":true}]}', None, None, None]
+
+
+def test_exact_arithmetic():
+    """Sums of stored numbers against fractions; what cannot be stored is null."""
+    from fractions import Fraction
+
+    r = random.Random(9)
+    numbers = [f"{r.choice(['', '-', '+'])}{r.randrange(10**r.randrange(1, 20))}{r.choice(['', '.5', '.', '.070'])}{r.choice(['', 'e3', 'E-7', 'e+2'])}" for _ in range(300)]
+    for a, b in zip(numbers, numbers[1:]):
+        assert Fraction(values._sum(a, b, 1)) == Fraction(Decimal(a)) + Fraction(Decimal(b)), (a, b)
+        assert Fraction(values._sum(a, b, -1)) == Fraction(Decimal(a)) - Fraction(Decimal(b)), (a, b)
+    assert values._sum("1", "1e37", 1) == "1" + "0" * 36 + "1" and values._sum("1", "1e38", 1) is None
+    assert values._sum("9e125", "1e125", 1) is None and values._sum("1e125", "-1e125", 1) == "0"
+    assert values._sum("1E-130", "1E-130", -1) == "0." + "0" * 130 and values._sum("1.50", "1.5", -1) == "0.0"
+    for odd in ("", "x", "1_0", "NaN", "Infinity", "1e126", "1e-131", "1e99999999999", "1" * 39, "\u0661", None):
+        assert values._sum(odd, "1", 1) is None, odd
+
+
+def test_added_lists_and_deep_equality(spark):
+    rows = [
+        ('{"N":"1.5"}', '{"N":"-0.50"}', '{"N":"1"}', False),
+        ('{"NS":["1","2"]}', '{"NS":["2.0","3"]}', '{"NS":["1","2","3"]}', False),
+        ('{"SS":["a"]}', '{"SS":["b","a"]}', '{"SS":["a","b"]}', False),
+        ('{"BS":["YQ=="]}', '{"BS":["Yg=="]}', '{"BS":["YQ==","Yg=="]}', False),
+        ('{"N":"1e125"}', '{"N":"9e125"}', None, False),
+        ('{"SS":["1"]}', '{"NS":["1"]}', None, False),
+        (None, '{"N":"7"}', '{"N":"7"}', False),
+        ('{"M":{"a":{"N":"1"},"b":{"NULL":true}}}', '{"M":{"b":{"NULL":true},"a":{"N":"10e-1"}}}', None, True),
+        ('{"NS":["-0","10"]}', '{"NS":["1e1","0.0"]}', '{"NS":["-0","10"]}', True),
+        ('{"L":[{"S":"a"},{"S":"b"}]}', '{"L":[{"S":"b"},{"S":"a"}]}', None, False),
+        ('{"S":"1"}', '{"N":"1"}', None, False),
+        ("not json", "not json", None, False),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, total string, same boolean")
+    for x in df.select("*", documents.added(F.col("a"), F.col("b")).alias("got"), values.same_value(F.col("a"), F.col("b")).alias("equal")).collect():
+        assert (x.got, x.equal) == (x.total, x.same), x
+    lists = spark.createDataFrame([('{"L":[{"S":"a"},{"S":"b"},{"S":"c"}]}',), ('{"L":[]}',), ('{"S":"a"}',), (None,)], "l string")
+    new = {4: F.lit('{"S":"y"}'), 1: F.lit('{"S":"x"}')}
+    got = [r[0] for r in lists.select(documents.update_list(F.col("l"), new, (0, 9))).collect()]
+    assert got == ['{"L":[{"S":"x"},{"S":"c"},{"S":"y"}]}', '{"L":[{"S":"x"},{"S":"y"}]}', None, None]
