@@ -41,6 +41,29 @@ def agg_21_prefix_sizes(spark, d):
     return R.prefix_sizes(R.rollup(r.groupBy("key", "main", "sub").agg(*[F.max(c).alias(c) for c in ("supp", "deleted", "size", "value")])), 3)
 
 
+def _cluster(spark, d):
+    """Events as records of a cluster's store: pods, secrets (every other one encrypted), events."""
+    e = views.table(spark, d, "events")
+    text = lambda c: F.col(c).cast("string")
+    resource = F.when(F.col("user_id") % 3 == 0, "pods").when(F.col("user_id") % 3 == 1, "secrets").otherwise("events")
+    plain = F.format_string('{"apiVersion":"v1","kind":"%s","metadata":{"managedFields":[{"manager":"%s"}],"name":"%s"}}', F.initcap(F.rtrim(resource, F.lit("s"))), F.col("event_type"), text("user_id"))
+    value = F.when(F.col("user_id") % 6 == 1, F.concat(F.lit("k8s:enc:aescbc:v1:key1:"), F.col("event_type"))).otherwise(plain)
+    return e.select(F.concat(F.lit("/registry/"), resource, F.lit("/default/"), text("user_id")).alias("key"), F.col("event_id").alias("main"), F.lit(0).alias("sub"), (F.col("event_id") % 5 == 0).alias("deleted"), value.alias("value"))
+
+
+def agg_20_kinds(spark, d):
+    return R.kinds(R.objects(_cluster(spark, d)))
+
+
+def agg_20_secrets(spark, d):
+    return R.secrets(R.objects(_cluster(spark, d)))
+
+
+def agg_22_store_findings(spark, d):
+    """A database of 1.8 GB, half of it free, with these records."""
+    return R.findings(R.objects(_cluster(spark, d)), 1_800_000_000, 900_000_000)
+
+
 def joi_10_resources(spark, d):
     return _records(spark, d).groupBy(R.resource(F.col("key")).alias("resource")).agg(F.count("*").alias("records"), F.countDistinct("key").alias("keys"))
 
@@ -283,12 +306,19 @@ def agg_27_least_privilege(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    joi_13_as_of_revision, agg_19_mvcc_rollup, win_02_history, agg_21_prefix_sizes, joi_10_resources, joi_09_lease_counts, srt_05_top_keys, agg_15_snapshot_totals, agg_16_ttl_histogram,
+    joi_13_as_of_revision, agg_19_mvcc_rollup, win_02_history, agg_21_prefix_sizes, agg_20_kinds, agg_20_secrets, agg_22_store_findings, joi_10_resources, joi_09_lease_counts, srt_05_top_keys, agg_15_snapshot_totals, agg_16_ttl_histogram,
     srt_04_largest, agg_17_snapshot_prefixes, snk_01_resp, snk_02_build, agg_26_build_summary, win_01_first_per_key, snk_03_csv_guard, snk_06_batches, fil_01_and_or_not, fil_02_comparisons,
     fil_03_between, fil_04_in, fil_05_functions, fn_20_utf16_size, prj_01_projection, srt_01_sorted_query, prj_05_update, set_01_number_sets, ex_09_arithmetic, ex_10_list_elements, ex_11_add, ex_13_deep_equality, fn_18_number_order, joi_03_setting_differences,
     joi_04_version_scores, win_05_last_setting, joi_06_glob_permissions, set_06_last_rule, agg_27_least_privilege,
 )}
 
+#: The records of _cluster() and the last one of each key.
+CLUSTER = """records AS (SELECT CASE user_id % 3 WHEN 0 THEN 'pods' WHEN 1 THEN 'secrets' ELSE 'events' END AS resource, user_id, event_id AS main, event_id % 5 = 0 AS deleted, user_id % 6 = 1 AS secret,
+  length('[{"manager":"' || event_type || '"}]') AS managed, CASE WHEN user_id % 6 = 1 THEN 'k8s:enc:aescbc:v1:key1:' || event_type
+  ELSE '{"apiVersion":"v1","kind":"' || CASE user_id % 3 WHEN 0 THEN 'Pod' WHEN 1 THEN 'Secret' ELSE 'Event' END || '","metadata":{"managedFields":[{"manager":"' || event_type || '"}],"name":"' || user_id || '"}}' END AS value FROM events),
+sized AS (SELECT *, strlen(value) AS size, strlen('/registry/' || resource || '/default/' || user_id) + strlen(value) AS own FROM records),
+objects AS (SELECT resource, user_id, secret, NOT arg_max(deleted, main) AS live, arg_max(size, main) AS size, arg_max(managed, main) AS managed, arg_max(own, main) AS own, sum(own) AS everything FROM sized GROUP BY resource, user_id, secret)"""
+
 LOADS = "loads AS (SELECT event_id AS idx, 'u:' || CAST(user_id AS VARCHAR) AS k, event_type AS v FROM events)"
 BUCKETS = "CASE " + " ".join(f"WHEN expire_ms >= {least} THEN '{name}'" for least, name in reversed(S.TTL_BUCKETS[1:])) + " ELSE 'expired' END"
 
@@ -300,6 +330,15 @@ CAST(everything - CASE WHEN gone THEN 0 ELSE own END AS BIGINT) AS history_bytes
     "win_02_history": f"""WITH {DEDUP} SELECT key, main, sub, deleted, value, last(CASE WHEN NOT deleted THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY main, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM revisions""",
     "agg_21_prefix_sizes": f"""WITH {LATEST}, live AS (SELECT '/registry/parts/' || left(split_part(key, '/', 4), 1) AS prefix, own + 1 AS own FROM last WHERE NOT gone)
 SELECT prefix, count(*) AS keys, CAST(sum(own) AS BIGINT) AS bytes FROM live GROUP BY prefix""",
+    "agg_20_kinds": f"""WITH {CLUSTER} SELECT CASE resource WHEN 'pods' THEN 'Pod' WHEN 'secrets' THEN 'Secret' ELSE 'Event' END AS kind, 'v1' AS api_version, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes,
+CAST(sum(managed) AS BIGINT) AS managed_bytes FROM objects WHERE live AND NOT secret GROUP BY 1""",
+    "agg_20_secrets": f"WITH {CLUSTER} SELECT CASE WHEN secret THEN 'aescbc:v1' END AS provider, count(*) AS secrets FROM objects WHERE live AND resource = 'secrets' GROUP BY 1",
+    "agg_22_store_findings": f"""WITH {CLUSTER}, t AS (SELECT count_if(live AND resource = 'secrets') AS secrets, count_if(live AND resource = 'secrets' AND NOT secret) AS plain, sum(CASE WHEN live THEN own ELSE 0 END) AS now, sum(everything) AS al,
+  sum(CASE WHEN resource = 'events' THEN everything ELSE 0 END) AS ev, sum(CASE WHEN live AND NOT secret THEN managed ELSE 0 END) AS managed, sum(CASE WHEN live AND NOT secret THEN size ELSE 0 END) AS vals FROM objects),
+f AS (SELECT 'warn' AS level, 'quota' AS code, 1800000000 AS amount, 2147483648 AS total UNION ALL SELECT 'info', 'free', 900000000, 1800000000 UNION ALL SELECT 'warn', 'secrets', plain, secrets FROM t WHERE plain > 0
+UNION ALL SELECT 'ok', 'secrets', secrets, secrets FROM t WHERE plain = 0 AND secrets > 0 UNION ALL SELECT 'info', 'history', al - now, now FROM t WHERE al - now > now
+UNION ALL SELECT 'info', 'events', ev, al FROM t WHERE ev > 0.3 * al UNION ALL SELECT 'info', 'managed-fields', managed, vals FROM t WHERE managed > 0.2 * vals AND vals > 0)
+SELECT level, code, CAST(amount AS BIGINT) AS amount, CAST(total AS BIGINT) AS total FROM f""",
     "joi_10_resources": f"WITH {DEDUP} SELECT split_part(key, '/', 3) AS resource, count(*) AS records, count(DISTINCT key) AS keys FROM revisions GROUP BY 1",
     "joi_09_lease_counts": f"WITH {LATEST}, u AS (SELECT lease, count(*) AS n FROM last WHERE NOT gone GROUP BY lease) SELECT s_suppkey AS lease, coalesce(n, 0) AS keys FROM supplier LEFT JOIN u ON lease = s_suppkey",
     "srt_05_top_keys": f"WITH {LATEST} SELECT key, CAST(everything - CASE WHEN gone THEN 0 ELSE own END AS BIGINT) AS measure FROM last ORDER BY measure DESC, key LIMIT 10",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kvloom.functions import commands, keys as K, placement as P, values
 from kvloom.functions.conditions import number_key
-from kvloom.operators import documents, keyspace, placement, rebalance, slots, store, traffic
+from kvloom.operators import documents, keyspace, placement, rebalance, revisions, slots, store, traffic
 from kvloom.plans import views
 from kvloom.sources import text as sources
 from kvloom.streaming import traffic as stream
@@ -331,3 +331,21 @@ def test_added_lists_and_deep_equality(spark):
     new = {4: F.lit('{"S":"y"}'), 1: F.lit('{"S":"x"}')}
     got = [r[0] for r in lists.select(documents.update_list(F.col("l"), new, (0, 9))).collect()]
     assert got == ['{"L":[{"S":"x"},{"S":"c"},{"S":"y"}]}', '{"L":[{"S":"x"},{"S":"y"}]}', None, None]
+
+
+def test_store_findings(spark):
+    big = "x" * (1 << 20)
+    rows = [
+        ("/registry/secrets/a", 1, 0, False, "k8s:enc:kms:v2:k:..."), ("/registry/secrets/b", 2, 0, False, "k8s:enc:?"), ("/registry/secrets/c", 3, 0, False, "plain"), ("/registry/secrets/c", 4, 0, True, None),
+        ("/registry/pods/p", 5, 0, False, '{"kind":"Pod","apiVersion":"v1","metadata":{"managedFields":[{"a":1},{"b":2}]}}'), ("/registry/pods/q", 6, 0, False, '{"kind":'), ("/registry/pods/r", 7, 0, False, big), ("other", 8, 0, False, "[]"),
+    ]
+    schema = "key string, main int, sub int, deleted boolean, value string"
+    o = revisions.objects(spark.createDataFrame(rows, schema))
+    got = {r.key: r for r in o.collect()}
+    assert {k: r.format for k, r in got.items()} == {"/registry/secrets/a": "encrypted", "/registry/secrets/b": "encrypted", "/registry/secrets/c": None, "/registry/pods/p": "json", "/registry/pods/q": "text", "/registry/pods/r": "text", "other": "text"}
+    assert got["/registry/pods/p"].managed == len('[{"a":1},{"b":2}]') and got["/registry/secrets/c"].history_bytes == 2 * len("/registry/secrets/c") + len("plain")
+    assert {(r.provider, r.secrets) for r in revisions.secrets(o).collect()} == {("kms:v2", 1), ("unknown", 1)}
+    assert [(r.kind, r.objects) for r in revisions.kinds(o).collect()] == [("Pod", 1)]
+    found = [tuple(r) for r in revisions.findings(o, size=99, free=10, quota=100).collect()]
+    assert [f[:2] for f in found] == [("bad", "quota"), ("warn", "big-values"), ("info", "managed-fields"), ("ok", "secrets")] and found[3][2:] == (2, 2)
+    assert revisions.findings(revisions.objects(spark.createDataFrame([], schema))).count() == 0
