@@ -81,11 +81,19 @@ class Attr:
     def is_in(self, values: list) -> Column:
         return reduce(lambda a, b: a | b, [self.eq(v) for v in values], F.lit(False))
 
-    def begins_with(self, prefix: str) -> Column:
+    def _bytes(self) -> Column:
+        return F.try_to_binary(self._get("B"), F.lit("base64"))
+
+    def begins_with(self, prefix: str | bytes) -> Column:
+        if isinstance(prefix, bytes):
+            return F.coalesce(F.startswith(self._bytes(), F.lit(prefix)), F.lit(False))
         return F.coalesce(F.startswith(self._get("S"), F.lit(prefix)), F.lit(False))
 
     def contains(self, value) -> Column:
-        """A substring of a text, or a member of a set."""
+        """A substring of a text or of bytes, or a member of a set."""
+        if isinstance(value, bytes):
+            member = F.exists(self._get("BS", "array<string>"), lambda b: F.try_to_binary(b, F.lit("base64")) == F.lit(value))
+            return F.coalesce(F.contains(self._bytes(), F.lit(value)), F.lit(False)) | F.coalesce(member, F.lit(False))
         if isinstance(value, str):
             member = F.array_contains(self._get("SS", "array<string>"), value)
             return F.coalesce(F.contains(self._get("S"), F.lit(value)), F.lit(False)) | F.coalesce(member, F.lit(False))
@@ -93,9 +101,9 @@ class Attr:
         return F.coalesce(F.exists(self._get("NS", "array<string>"), lambda n: number_key(n) == key), F.lit(False))
 
     def size(self) -> Column:
-        """UTF-16 units of a text, members of a set, list or map; null otherwise."""
+        """UTF-16 units of a text, bytes of a binary, members of a set, list or map; null otherwise."""
         members = F.coalesce(*[F.size(self._get(t, "array<variant>")) for t in ("SS", "NS", "BS", "L")], F.size(self._get("M", "map<string,variant>")))
-        return F.coalesce(utf16_size(self._get("S")), F.when(members >= 0, members))
+        return F.coalesce(utf16_size(self._get("S")), F.octet_length(self._bytes()), F.when(members >= 0, members))
 
     def text(self) -> Column:
         return self._get("S")

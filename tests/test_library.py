@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvloom.functions import commands, keys as K, placement as P, values
-from kvloom.functions.conditions import number_key
+from kvloom.functions.conditions import Attr, number_key
 from kvloom.operators import documents, keyspace, placement, rebalance, revisions, slots, store, traffic
 from kvloom.plans import views
 from kvloom.sources import text as sources
@@ -349,3 +349,11 @@ def test_store_findings(spark):
     found = [tuple(r) for r in revisions.findings(o, size=99, free=10, quota=100).collect()]
     assert [f[:2] for f in found] == [("bad", "quota"), ("warn", "big-values"), ("info", "managed-fields"), ("ok", "secrets")] and found[3][2:] == (2, 2)
     assert revisions.findings(revisions.objects(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_conditions_on_bytes(spark):
+    rows = ['{"a":{"B":"AAEC"}}', '{"a":{"BS":["AAE=","/w=="]}}', '{"a":{"S":"AAEC"}}', '{"a":{"B":"?"}}', "{}"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").select("i", F.parse_json("t").alias("item"))
+    a = Attr("a")
+    got = df.select(a.begins_with(b"\x00\x01").alias("b"), a.contains(b"\x01\x02").alias("c"), a.contains(b"\xff").alias("m"), a.size().alias("n")).collect()
+    assert [tuple(r) for r in got] == [(True, True, False, 3), (False, False, True, 2), (False, False, False, 4), (False, False, False, None), (False, False, False, None)]
