@@ -99,10 +99,11 @@ def parse_size(text: Column) -> Column:
     return F.when(F.regexp_like(low, F.lit(r"^[0-9]{1,12}([kmg]?b?)$")), F.regexp_extract(low, r"^([0-9]+)", 1).cast("long") * scale)
 
 
-def human_size(n: Column) -> Column:
-    """Bytes with a binary unit and one decimal, rounded down."""
+def human_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes with a binary unit (KB, MB, GB or TB, no larger than ``largest``) and one decimal, rounded down."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
+    units = ("KB", "MB", "GB", "TB")
+    for power, unit in zip((10, 20, 30, 40), units[: units.index(largest) + 1]):
         out = F.when(n >= 1 << power, F.format_string(f"%d.%d {unit}", F.shiftright(n, power), F.shiftright((n % (1 << power)) * 10, power))).otherwise(out)
     return out
 
