@@ -28,9 +28,12 @@ def typed_value(column: Column, kind: T.DataType) -> Column | None:
 
 
 def to_items(rows: DataFrame, key: str) -> DataFrame:
-    """rows -> key, item (VARIANT of typed JSON). Null columns are left out."""
+    """rows -> key, item (VARIANT of typed JSON). Null columns are left out.
+
+    Exploded from an array of one, so that a filter is not moved below it and no condition builds the document anew.
+    """
     item = F.struct(*[typed_value(rows[f.name], f.dataType).alias(f.name) for f in rows.schema if f.name != key])
-    return rows.select(key, F.parse_json(F.to_json(item)).alias("item"))
+    return rows.select(key, F.explode(F.array(F.parse_json(F.to_json(item)))).alias("item"))
 
 
 def plain(item: Column, names: dict[str, str]) -> list[Column]:

@@ -357,3 +357,23 @@ def test_conditions_on_bytes(spark):
     a = Attr("a")
     got = df.select(a.begins_with(b"\x00\x01").alias("b"), a.contains(b"\x01\x02").alias("c"), a.contains(b"\xff").alias("m"), a.size().alias("n")).collect()
     assert [tuple(r) for r in got] == [(True, True, False, 3), (False, False, True, 2), (False, False, False, 4), (False, False, False, None), (False, False, False, None)]
+
+
+def test_conditions_read_a_document_once(spark):
+    """A filter's plan builds the document once and each condition computes its number once, with the results of plain decimals."""
+    rows = [(i, None if i % 7 == 0 else Decimal(i - 40) / 4, i % 3 == 0) for i in range(80)]
+    items = documents.to_items(spark.createDataFrame(rows, "i int, n decimal(12,2), odd boolean"), "i")
+    n, odd = Attr("n"), Attr("odd")
+    tests = {
+        "between": (n.between(-2.5, 3), lambda x, o: x is not None and -2.5 <= x <= 3),
+        "outside": (~n.between(0, 0) & odd.eq(True), lambda x, o: x != 0 and o),
+        "in": (n.is_in([1, "x", 2.5, True, float("nan")]), lambda x, o: x in (1, 2.5)),
+        "mixed": (n.between("a", 1), lambda x, o: False),
+        "below": (n.lt(float("inf")) | n.ge(Decimal("0.25E1")), lambda x, o: x is not None and x >= 2.5),
+    }
+    for name, (test, want) in tests.items():
+        chosen = items.where(test).select("i")
+        assert sorted(r.i for r in chosen.collect()) == [i for i, x, o in rows if want(x, o)], name
+        plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("StructsToJsonEvaluator") <= 1, name
+        assert plan.count("RLIKE") <= 2, name
