@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.conditions import Attr, number_key
+from ..functions.conditions import Attr, let, number_key
 from ..functions.values import plus
 
 
@@ -71,15 +71,20 @@ def changed(before: Column, after: Column) -> Column:
     return F.sort_array(F.filter(names, lambda n: ~F.try_element_at(before, n).eqNullSafe(F.try_element_at(after, n))))
 
 
+def _not_among(numbers: Column, others: Column) -> Column:
+    """Numbers that others do not hold by value. The key of each member is computed once."""
+    keyed = F.transform(numbers, lambda x: F.struct(x.alias("x"), number_key(x).alias("key")))
+    return let(F.transform(others, number_key), lambda keys: F.transform(F.filter(keyed, lambda e: ~F.exists(keys, lambda k: k == e.key)), lambda e: e.x))
+
+
 def numbers_union(a: Column, b: Column) -> Column:
     """Union of two number sets: equal values (1.0 and 1) are one, with the first spelling."""
-    return F.concat(a, F.filter(b, lambda x: ~F.exists(a, lambda y: number_key(x) == number_key(y))))
+    return F.concat(a, _not_among(b, a))
 
 
 def numbers_except(a: Column, b: Column) -> Column:
     """Members of a that b does not hold by value; null if none is left, as an empty set cannot be kept."""
-    left = F.filter(a, lambda x: ~F.exists(b, lambda y: number_key(x) == number_key(y)))
-    return F.when(F.size(left) > 0, left)
+    return let(_not_among(a, b), lambda left: F.when(F.size(left) > 0, left))
 
 
 def list_append(a: Column, b: Column) -> Column:

@@ -377,3 +377,18 @@ def test_conditions_read_a_document_once(spark):
         plan = chosen._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("StructsToJsonEvaluator") <= 1, name
         assert plan.count("RLIKE") <= 2, name
+
+
+def test_number_sets_by_value(spark):
+    rows = [
+        (["1", "2.50", "-3"], ["1.0", "25e-1", "7"], ["1", "2.50", "-3", "7"], ["-3"]),
+        (["0"], ["-0.0"], ["0"], None),
+        ([], ["1e9"], ["1e9"], None),
+        (["1e9"], [], ["1e9"], ["1e9"]),
+        (None, ["1"], None, None),
+        (["1"], None, None, None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "a array<string>, b array<string>")
+    out = df.select(documents.numbers_union(F.col("a"), F.col("b")).alias("u"), documents.numbers_except(F.col("a"), F.col("b")).alias("e"))
+    assert [(r.u, r.e) for r in out.collect()] == [(u, e) for *_, u, e in rows]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 4
