@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .keys import utf16_size
+from .keys import let, utf16_size
 
 _STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
 
@@ -148,11 +148,6 @@ def _key(sign: int, exponent: Column, digits: Column) -> Column:
     return F.struct(F.lit(sign).alias("sign"), exponent.alias("exponent"), digits.alias("digits"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once a row, however often ``use`` names it and wherever the optimizer moves it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def number_key(text: Column) -> Column:
     """A struct that orders and equates decimal numbers of any size: (sign, exponent, digits), turned round for negatives.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -11,6 +12,11 @@ SLOTS = 16384
 SEPARATORS = (":", "/", "|", "#", ".", "_", "-")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often ``use`` names it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _crc_row(i: int) -> int:
     """CRC-16 of one byte, polynomial 0x1021, from the definition."""
     crc = i << 8
@@ -52,14 +58,25 @@ CLASSES = (
 )
 
 
+#: Characters that a segment of a class has at least; shorter ones need no pattern.
+LEAST = {"uuid": 36, "date": 7, "email": 5, "ip": 7, "hex": 12, "token": 20}
+
+
 def segment_class(segment: Column) -> Column:
-    """<class> for segments that look generated, else the segment. Braces of a hash tag stay."""
-    tagged = (F.substr(segment, F.lit(1), F.lit(1)) == "{") & (F.substr(segment, F.length(segment), F.lit(1)) == "}") & (F.length(segment) > 2)
-    core = F.when(tagged, F.substr(segment, F.lit(2), F.length(segment) - 2)).otherwise(segment)
-    digits = F.regexp_like(core, F.lit("[0-9@-]"))
-    named = reduce(lambda rest, c: F.when(F.regexp_like(core, F.lit(c[1])), F.lit(f"<{c[0]}>")).otherwise(rest), reversed(CLASSES), F.lit(None).cast("string"))
-    found = F.when(digits, named)
-    return F.when(found.isNull(), segment).when(tagged, F.concat(F.lit("{"), found, F.lit("}"))).otherwise(found)
+    """<class> for segments that look generated, else the segment. Braces of a hash tag stay. Each pattern is tried once."""
+
+    def classed(s: Column) -> Column:
+        tagged = F.startswith(s, F.lit("{")) & F.endswith(s, F.lit("}")) & (F.length(s) > 2)
+
+        def named(core: Column) -> Column:
+            is_ = lambda name, pattern: (F.length(core) >= LEAST.get(name, 0)) & F.regexp_like(core, F.lit(pattern))
+            first = reduce(lambda rest, c: F.when(is_(*c), F.lit(f"<{c[0]}>")).otherwise(rest), reversed(CLASSES), F.lit(None).cast("string"))
+            return F.when(F.regexp_like(core, F.lit("[0-9@-]")), first)
+
+        found = let(F.when(tagged, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), named)
+        return let(found, lambda f: F.when(f.isNull(), s).when(tagged, F.concat(F.lit("{"), f, F.lit("}"))).otherwise(f))
+
+    return let(segment, classed)
 
 
 def key_pattern(key: Column, separator: str = ":") -> Column:

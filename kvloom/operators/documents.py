@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.conditions import Attr, let, number_key
+from ..functions.conditions import Attr, number_key
+from ..functions.keys import let
 from ..functions.values import plus
 
 

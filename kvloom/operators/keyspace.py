@@ -90,9 +90,10 @@ def fold_busy_levels(patterns_: DataFrame, separator: str = ":", many: int = 50,
     """patterns(pattern, keys) -> the same after folding: where a prefix has more than ``many`` children and ``share`` of them are small (``small`` keys at most) and no class, these become <*>.
 
     Levels are folded from the deepest up, one aggregation and one join each.
-    cut: a function that materializes a level on a cluster.
+    cut: a function that materializes the patterns and each level on a cluster; without it each use counts the keys again.
     """
     rows = patterns_.select(F.split("pattern", _quoted(separator)).alias("path"), "keys")
+    rows = cut(rows) if cut else rows
     deepest = rows.agg(F.max(F.size("path"))).first()[0] or 0
     for depth in range(deepest, 0, -1):
         child = F.element_at("path", depth)

@@ -11,6 +11,7 @@ from kvloom.functions import commands, keys as K, placement as P, values
 from kvloom.functions.conditions import Attr, number_key
 from kvloom.operators import documents, keyspace, placement, rebalance, revisions, slots, store, traffic
 from kvloom.plans import views
+from kvloom.session import cut
 from kvloom.sources import text as sources
 from kvloom.streaming import traffic as stream
 
@@ -392,3 +393,21 @@ def test_number_sets_by_value(spark):
     out = df.select(documents.numbers_union(F.col("a"), F.col("b")).alias("u"), documents.numbers_except(F.col("a"), F.col("b")).alias("e"))
     assert [(r.u, r.e) for r in out.collect()] == [(u, e) for *_, u, e in rows]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 4
+
+
+def test_folding_counts_the_keys_once(spark):
+    """The keys are read once, not for each level and use, and a segment's classes are tried once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        read.add(1)
+        return key
+
+    names = [f"order:n{i}x:{i}" for i in range(60)] + ["user:1:view", "user:2:view", "cart:{7}:items"]
+    keys = spark.createDataFrame([(n,) for n in names], "key string").repartition(3).select(F.udf(counted, "string").asNondeterministic()("key").alias("key"))
+    patterns = keys.groupBy(K.key_pattern(F.col("key")).alias("pattern")).agg(F.count("*").alias("keys"))
+    got = {r.pattern: r["keys"] for r in keyspace.fold_busy_levels(patterns, cut=cut).collect()}
+    assert got == {"order:<*>:<id>": 60, "user:<id>:view": 2, "cart:{<id>}:items": 1}
+    assert read.value == len(names)
+    plan = patterns._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 1 + len(K.CLASSES)
