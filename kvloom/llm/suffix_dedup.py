@@ -42,13 +42,13 @@ empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_columns, materialize, parts, release, small_or_shuffled
+from .common import SLICE, map_columns, materialize, parts, release, small_or_shuffled
 from .ngram_join import _lists, _mix, _weight
 
 LENGTH = 50
@@ -58,6 +58,8 @@ BATCH_STRINGS = 400_000
 MOST_STRINGS = 4_096
 #: Texts that are looked at for common anchors; an anchor of HOT_TEXTS of them is common, and at most HOT_MOST are dealt further.
 HOT_SAMPLE, HOT_TEXTS, HOT_MOST, SALTS = 8_192, 16, 100_000, 64
+#: Short texts are run together up to so many bytes to find their anchors.
+TOGETHER = 32_768
 FAR = np.iinfo(np.int64).max
 
 
@@ -77,8 +79,10 @@ def fingerprints(raw: bytes, length: int) -> np.ndarray:
     b2, b4, b8 = _words8(raw)
     h = np.full(n, np.uint64(length), np.uint64)
     at = 0
+    # Each word of 8 bytes is mixed once, and weighed by its place in each string that holds it.
+    words = _mix(b8 + _weight(0))
     for k in range(length // 8):
-        h += _mix(b8[at : at + n] + _weight(k)) * _weight(k)
+        h += words[at : at + n] * _weight(k)
         at += 8
     if length - at >= 4:
         h += b4[at : at + n] * _weight(30)
@@ -101,6 +105,57 @@ def anchors(raw: bytes, length: int = LENGTH, kgram: int = KGRAM) -> np.ndarray:
     return least
 
 
+def each_anchors(raws: Iterable[bytes], length: int, kgram: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each text with its anchors(): short texts together, as calls on short arrays take longer than the work; strings over a text's end are left out."""
+
+    def some(held: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        a, at = anchors(b"".join(held), length, kgram), 0
+        for raw in held:
+            yield raw, a[at : at + max(0, len(raw) - length + 1)]
+            at += len(raw)
+
+    held, size = [], 0
+    for raw in raws:
+        if held and size + len(raw) > TOGETHER:
+            yield from some(held)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    yield from some(held)
+
+
+def _run_starts(a: np.ndarray) -> np.ndarray:
+    new = np.ones(a.size, bool)
+    new[1:] = a[1:] != a[:-1]
+    return np.flatnonzero(new)
+
+
+def _once(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of runs of them."""
+    a = np.sort(a[_run_starts(a)])
+    return a[_run_starts(a)]
+
+
+def _raws(column: pa.Array) -> Iterator[bytes]:
+    return (x.as_py() or b"" for x in column.cast(pa.binary()))
+
+
+def _numbers(texts: DataFrame, length: int, kgram: int, common: np.ndarray) -> DataFrame:
+    """texts(cls, text) -> anchor, cls, salt of every anchor of a text, once; a salt (1 to SALTS) tells a common anchor, 0 another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                found = [_once(a) for _, a in each_anchors(_raws(b.column(1)), length, kgram)]
+                anchor = np.concatenate(found)
+                cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [f.size for f in found])
+                salt = np.where(_among(common, anchor), cls % SALTS + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(cls), pa.array(salt)], names=["anchor", "cls", "salt"])
+
+    return texts.select("cls", "text").mapInArrow(run, "anchor long, cls long, salt int")
+
+
 def _raw(text: str | None) -> bytes:
     return text.encode() if text else b""
 
@@ -229,24 +284,25 @@ def _covered(length: int):
     return run
 
 
-def cuts(raw: bytes, shared: np.ndarray, common: np.ndarray, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, end of the last string, key) of each stretch: a run of strings with one shared anchor, and under a common one with one second anchor."""
-    a = anchors(raw, length, kgram)
+def cuts(raw: bytes, a: np.ndarray, shared: np.ndarray, common: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a: the text's anchors; shared: sorted -> (first string, end of the last string, key) of each stretch: a run of strings with one shared anchor, and under a common one with one second anchor."""
     none = np.zeros(0, np.int64)
     if not a.size:
         return none, none, none
-    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    wanted = np.isin(a[start], shared)
+    start = _run_starts(a)
+    wanted = _among(shared, a[start])
     hot = _among(common, a[start]) & wanted
     if hot.any():
         second = anchors(raw, length, SECOND_KGRAM)
         in_hot = np.repeat(hot, np.diff(np.append(start, a.size)))
         wanted = np.repeat(wanted, np.diff(np.append(start, a.size)))
         a = np.where(in_hot, _mix(a + second * _weight(9)), a)
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        start = _run_starts(a)
         wanted = wanted[start]
     end = np.append(start[1:], a.size)
     start, end = start[wanted], end[wanted]
+    if not start.size or (end - start).max() <= MOST_STRINGS:
+        return start, end + (length - 1), a[start].view(np.int64)
     pieces = -(-(end - start) // MOST_STRINGS)
     step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     key, end = np.repeat(a[start], pieces), np.repeat(end, pieces)
@@ -267,9 +323,8 @@ def _stretches(docs: DataFrame, length: int, kgram: int, common: np.ndarray) ->
         none = np.zeros(0, np.int64)
         for batch in batches:
             index, anchor, content, start, size, out = [none], [none], [], [none], [none], []
-            for i in range(batch.num_rows):
-                raw = _raw(batch.column(2)[i].as_py())
-                at, ends, key = cuts(raw, batch.column(3)[i].values.to_numpy().view(np.uint64), common, length, kgram)
+            for i, (raw, a) in enumerate(each_anchors(_raws(batch.column(2)), length, kgram)):
+                at, ends, key = cuts(raw, a, np.sort(batch.column(3)[i].values.to_numpy().view(np.uint64)), common, length)
                 pieces = [raw[s:e] for s, e in zip(at.tolist(), ends.tolist())]
                 index.append(np.full(at.size, i))
                 start.append(at)
@@ -324,18 +379,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM)
     info = materialize(plain.select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), F.xxhash64(raw).alias("cls")), "texts")
     firsts = materialize(info.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.first("cls").alias("cls")), "firsts")
 
-    def start():
-        def make(texts: list) -> list:
-            return [_lists([np.unique(anchors(_raw(t), length, kgram)) for t in texts])]
-
-        return make
-
     able = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).withColumn("cls", F.xxhash64(raw))
-    numbers = lambda texts: map_columns(texts, ["cls"], ["text"], start, {"anchors": "array<long>"}).select("cls", F.explode("anchors").alias("anchor"))
     every = max(1, firsts.count() // HOT_SAMPLE)
-    common = _common(numbers(able.where(F.pmod("cls", F.lit(every)) == 0).dropDuplicates(["cls"])))
-    known = F.broadcast(docs.sparkSession.createDataFrame([(int(a),) for a in common.view(np.int64)], "common long"))
-    dealt = numbers(able).join(known, F.col("anchor") == F.col("common"), "left").select("anchor", "cls", F.when(F.col("common").isNotNull(), F.pmod("cls", F.lit(SALTS)) + 1).otherwise(0).cast("int").alias("salt"))
+    sample = able.where(F.pmod("cls", F.lit(every)) == 0).dropDuplicates(["cls"])
+    common = _common(_numbers(sample, length, kgram, np.zeros(0, np.uint64)))
+    dealt = _numbers(able, length, kgram, common)
     shared = _shared(dealt).groupBy("cls").agg(F.collect_set("anchor").alias("shared"))
     shared = materialize(shared.join(firsts.select("cls", F.col("first_id").alias("doc_id")), "cls"), "shared")
     touched = materialize(shared.select("doc_id").distinct(), "touched")

@@ -430,6 +430,24 @@ def test_passages_of_one_id_with_different_texts(spark):
     assert got == sorted([(1, 100, 0, sha(passage)), (5, 60, 0, sha(other)), (5, 180, 100, sha(tail)), (5, 180, 100, sha(tail))])
 
 
+def test_anchors_of_texts_together_are_those_of_each():
+    r = random.Random(31)
+    raws = [bytes(r.randrange(97, 100) for _ in range(r.choice((0, 1, 19, 49, 50, 51, 90, 700, 40_000)))) for _ in range(80)]
+    got = list(suffix_dedup.each_anchors(iter(raws), 50, 20))
+    assert [raw for raw, _ in got] == raws and list(suffix_dedup.each_anchors([], 50, 20)) == []
+    for raw, a in got:
+        assert a.tolist() == suffix_dedup.anchors(raw).tolist()
+        f = suffix_dedup.fingerprints(raw, 20).tolist()
+        assert len(raw) > 1000 or a.tolist() == [min(f[i : i + 31]) for i in range(len(raw) - 49)]
+
+
+def test_anchors_of_many_short_texts_take_few_calls(monkeypatch):
+    """200 texts of 100 bytes were 200 calls on short arrays."""
+    calls, plain = [], suffix_dedup.anchors
+    monkeypatch.setattr(suffix_dedup, "anchors", lambda *a: calls.append(1) or plain(*a))
+    assert len(list(suffix_dedup.each_anchors([b"x" * 100] * 200, 50, 20))) == 200 and len(calls) == 1
+
+
 def test_strings_with_zero_bytes_are_told_apart():
     raw = b"ab" + b"\0" * 6
     s = suffix_dedup.strings_at(raw, np.arange(5), 4)
